@@ -77,8 +77,9 @@ def vector_topk(queries: DataFrame, corpus: DataFrame, key: str, vector: str, k:
     q, c = (d.where(F.col(vector).isNotNull()).select(F.col(key).alias(n), F.col(vector).alias("v")) for d, n in ((queries, "query"), (corpus, "doc")))
     nq, nc = max(1, -(-queries.count() // cell)), max(1, -(-corpus.count() // cell))
     kind = queries.schema[key].dataType.simpleString()
-    left = q.withColumn("qc", F.pmod(F.xxhash64("query"), F.lit(nq))).withColumn("cc", F.explode(F.sequence(F.lit(0), F.lit(nc - 1))))
-    right = c.withColumn("cc", F.pmod(F.xxhash64("doc"), F.lit(nc)).cast("int")).withColumn("qc", F.explode(F.sequence(F.lit(0), F.lit(nq - 1))).cast("long"))
+    cells = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    left = q.withColumn("qc", F.pmod(F.xxhash64("query"), F.lit(nq)).cast("int")).withColumn("cc", cells(nc))
+    right = c.withColumn("cc", F.pmod(F.xxhash64("doc"), F.lit(nc)).cast("int")).withColumn("qc", cells(nq))
 
     def unit(column: pd.Series) -> np.ndarray:
         m = np.array(column.tolist(), float)

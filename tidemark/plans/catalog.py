@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from tidemark.plans import desk, runs
+from tidemark.plans import desk, library, runs, tables
 from tidemark.plans.registry import Registry
 
 REGISTRY = Registry()
-for module in (desk, runs):
+for module in (desk, runs, library, tables):
     for name, query in module.REGISTRY.items():
         REGISTRY.add(name, query.sql)(query.plan)
