@@ -6,11 +6,13 @@ import base64
 from collections.abc import Iterator
 from pathlib import Path
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.operators.joins import hot_keys, salted_join
 from tidemark.session import cut
 
 VOCABULARIES = "/opt/tokenizers"
@@ -55,7 +57,7 @@ def with_words(df: DataFrame, text: str = "text", out: str = "words") -> DataFra
     return df.withColumn(out, F.when(unknown, by_regex(F.when(unknown, t))).otherwise(split_words(t)))
 
 
-def word_table(words: DataFrame, ranks: bytes, chunk: int = 10_000) -> DataFrame:
+def word_table(words: DataFrame, ranks: bytes) -> DataFrame:
     """``(word, n, ids)``: every distinct word with its count, encoded once."""
     spark = words.sparkSession
     shared = spark.sparkContext.broadcast(ranks)
@@ -69,29 +71,88 @@ def word_table(words: DataFrame, ranks: bytes, chunk: int = 10_000) -> DataFrame
     return counts.mapInPandas(encode, "word string, n bigint, ids array<int>")
 
 
-def encode_corpus(df: DataFrame, key: str, text: str, ranks: bytes, salts: int = 32) -> DataFrame:
+def _spread(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The places ``starts[i] .. starts[i] + sizes[i]`` of all i in a row."""
+    return np.repeat(starts - np.cumsum(sizes) + sizes, sizes) + np.arange(sizes.sum())
+
+
+def _lists(values: np.ndarray, sizes: np.ndarray) -> pa.Array:
+    offsets = np.concatenate(([0], np.cumsum(sizes))).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(offsets), values if isinstance(values, pa.Array) else pa.array(values.astype(np.int32)))
+
+
+class KnownWords:
+    """Frequent words and their ids, for lookup of whole Arrow batches."""
+
+    def __init__(self, words: list[str], ids: list[list[int]]):
+        self.words = words
+        self.sizes = np.array([len(x) for x in ids] + [1], np.int64)
+        self.starts = np.cumsum(self.sizes) - self.sizes
+        self.flat = np.array([i for x in ids for i in x] + [0], np.int64)
+
+    def encode(self, lists: pa.ListArray) -> tuple[pa.Array, pa.Array]:
+        """Ids of each text's words, and the words not known here, in order; the k-th of
+        these stands in the ids as ``-1 - k``."""
+        flat, sizes = lists.flatten(), lists.value_lengths().to_numpy().astype(np.int64)
+        at = pc.index_in(flat, value_set=pa.array(self.words, flat.type)).fill_null(len(self.words)).to_numpy()
+        rare = at == len(self.words)
+        text = np.repeat(np.arange(len(sizes)), sizes)
+        lens = self.sizes[at]
+        ids = self.flat[_spread(self.starts[at], lens)]
+        rare_per_text = np.bincount(text[rare], minlength=len(sizes))
+        nth = np.arange(rare.sum()) - np.repeat(np.cumsum(rare_per_text) - rare_per_text, rare_per_text)
+        ids[(np.cumsum(lens) - lens)[rare]] = -1 - nth
+        ids_per_text = np.bincount(text, lens, len(sizes)).astype(np.int64)
+        return _lists(ids, ids_per_text), _lists(flat.filter(pa.array(rare)), rare_per_text)
+
+
+def _fill(ids: pa.ListArray, rare: pa.ListArray) -> pa.Array:
+    """Puts each text's rare words' ids, listed in order, in the places left for them."""
+    flat, sizes = ids.flatten().to_numpy().astype(np.int64), ids.value_lengths().to_numpy().astype(np.int64)
+    words = rare.flatten()
+    more, lens = words.flatten().to_numpy(), words.value_lengths().to_numpy().astype(np.int64)
+    out_lens, starts, hole = np.ones(len(flat), np.int64), np.arange(len(flat)), flat < 0
+    out_lens[hole], starts[hole] = lens, len(flat) + np.cumsum(lens) - lens
+    out = np.concatenate((flat, more))[_spread(starts, out_lens)]
+    return _lists(out, np.bincount(np.repeat(np.arange(len(sizes)), sizes), out_lens, len(sizes)).astype(np.int64))
+
+
+def encode_corpus(df: DataFrame, key: str, text: str, ranks: bytes, known: int = 65_536) -> DataFrame:
     """``(key, ids)``: the ids of every text, as the tokenizer gives for the whole text.
 
-    Null, empty texts get an empty list.  Rows of one key are one text each and must have
-    distinct keys; every row of ``df`` comes out once.  Marks such as ``<|endoftext|>`` are
-    plain text.  Other columns are ignored.
+    Null and empty texts get an empty list.  Every row of ``df`` is one text and comes out
+    once; keys must be distinct and not null.  Marks such as ``<|endoftext|>`` are plain text,
+    whole texts of any length are encoded, other columns are ignored.
 
-    Plan: words are split in the JVM and counted with partial aggregation; each distinct
-    word is encoded once and the table kept.  Words that make up more than 1/64 of the corpus
-    are known from it (at most 64), their rows are salted; the rest joins by word.  Ids come
-    back by position.
+    Plan: words are split in the JVM and counted with partial aggregation; each distinct word
+    is encoded once and the table kept.  Its ``known`` most frequent short words (a fixed
+    number: some 2 MB) are broadcast and put in place by position where the text is; only the
+    remaining words, none of which can be frequent, travel to the table and back.
     """
-    split = with_words(df.select(F.col(key).alias("_key"), F.col(text).alias("_text")), "_text").drop("_text")
-    words = split.select("_key", F.posexplode("words").alias("pos", "word"))
-    table = cut(word_table(words.select("word"), ranks))
-    total = table.agg(F.sum("n")).first()[0] or 0
-    hot = hot_keys(table.withColumnRenamed("word", "key"), "key", total)
-    joined = salted_join(words, table.select("word", "ids"), ["word"], hot, F.col("_key"), salts)
-    entry = F.struct("pos", "ids")
-    ids = F.flatten(F.transform(F.array_sort(F.collect_list(entry)), lambda x: x["ids"]))
-    found = joined.groupBy("_key").agg(ids.alias("ids"))
-    bare = split.where(F.size("words") == 0).select("_key", F.array().cast("array<int>").alias("ids"))
-    return found.unionByName(bare).withColumnRenamed("_key", key)
+    spark = df.sparkSession
+    split = with_words(df.select(F.col(key).alias("_key"), F.col(text).alias("_text")), "_text").select("_key", "words")
+    table = cut(word_table(split.select(F.explode("words").alias("word")), ranks))
+    top = table.where(F.length("word") <= 32).orderBy(F.desc("n"), "word").limit(known).select("word", "ids").collect()
+    frequent = spark.sparkContext.broadcast(KnownWords([r[0] for r in top], [list(r[1]) for r in top]))
+    kind = df.schema[key].dataType.simpleString()
+
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            ids, rare = frequent.value.encode(b.column(1))
+            yield pa.RecordBatch.from_arrays([b.column(0), ids, rare], ["_key", "ids", "rare"])
+
+    def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([b.column(0), _fill(b.column(1), b.column(2))], ["_key", "ids"])
+
+    placed = split.mapInArrow(place, f"_key {kind}, ids array<int>, rare array<string>")
+    rows = placed.select("_key", "ids", F.posexplode_outer("rare").alias("k", "word"))
+    # the ids travel with a text's first rare word; texts without one have a word of their own, that no table has
+    rows = rows.select("_key", "k", F.when(F.coalesce("k", F.lit(0)) == 0, F.col("ids")).alias("ids"), F.coalesce("word", F.concat(F.lit("\0"), F.col("_key").cast("string"))).alias("word"))
+    joined = rows.join(table.select("word", F.col("ids").alias("word_ids")), "word", "left")
+    entries = F.array_sort(F.collect_list(F.when(F.col("k").isNotNull(), F.struct("k", "word_ids"))))
+    whole = joined.groupBy("_key").agg(F.max("ids").alias("ids"), F.transform(entries, lambda x: x["word_ids"]).alias("rare"))
+    return whole.mapInArrow(fill, f"_key {kind}, ids array<int>").withColumnRenamed("_key", key)
 
 
 def pieces(spark: SparkSession, ranks: bytes) -> DataFrame:
