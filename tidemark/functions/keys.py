@@ -18,14 +18,16 @@ def strip(c: Column) -> Column:
 
 def clean_key(c: Column) -> Column:
     """Upper case, trimmed, ASCII hyphens; null and blank give null."""
-    c = F.upper(strip(F.translate(c, DASHES, "-" * len(DASHES))))
-    return F.when(c != "", c)
+    return F.nullif(F.upper(strip(F.translate(c, DASHES, "-" * len(DASHES)))), F.lit(""))
 
 
 def form_part(c: Column) -> Column:
     """The form number of ``'HM-0000 ed. 01-24'`` in clean form, whatever edition it names."""
-    c = F.regexp_replace(clean_key(c), r"(?U)\s+ED\b.*$", "")
-    return F.when(c != "", c)
+    return F.nullif(F.regexp_replace(clean_key(c), r"(?U)\s+ED\b.*$", ""), F.lit(""))
+
+
+_YMD = r"(?U)^\s*(\d{4})(?:[-/.\s](\d{1,2})[-/.\s](\d{1,2})|(\d\d)(\d\d))(?:[T\s].*)?$"
+_DMY = r"(?U)^\s*(\d{1,2})[-/.\s]+([A-Za-z]{3})[a-z]*[-/.,\s]+(\d{4})(?:[T\s].*)?$"
 
 
 def parse_day(c: Column) -> Column:
@@ -34,19 +36,10 @@ def parse_day(c: Column) -> Column:
     Year first with or without separators and with any time part, or day, English
     month abbreviation, year.  Sentinels and impossible days are null.
     """
-    s = strip(F.translate(c, DASHES, "-" * len(DASHES)))
-    ymd = r"^(\d{4})[-/.\s](\d{1,2})[-/.\s](\d{1,2})(?:[T\s].*)?$"
-    compact = r"^(\d{4})(\d{2})(\d{2})(?:[T\s].*)?$"
-    dmy = r"^(\d{1,2})[-/.\s]+([A-Za-z]{3})[a-z]*[-/.,\s]+(\d{4})(?:[T\s].*)?$"
-    months = "jan feb mar apr may jun jul aug sep oct nov dec".split()
-    month = F.array_position(F.array(*map(F.lit, months)), F.lower(F.regexp_extract(s, dmy, 2)))
-    part = lambda pattern, i: F.lpad(F.regexp_extract(s, pattern, i), 2, "0")
-    text = F.when(s.rlike(ymd), F.concat_ws("-", F.regexp_extract(s, ymd, 1), part(ymd, 2), part(ymd, 3)))
-    text = text.when(s.rlike(compact), F.regexp_replace(F.substring(s, 1, 8), compact, "$1-$2-$3"))
-    text = text.when(
-        s.rlike(dmy), F.concat_ws("-", F.regexp_extract(s, dmy, 3), F.lpad(month.cast("string"), 2, "0"), part(dmy, 1))
-    )
-    return text.try_cast("date")
+    c = F.translate(c, DASHES, "-" * len(DASHES))
+    # a text that does not match stays without the mark and is no date; one match per form
+    ymd = F.try_to_date(F.regexp_replace(c, _YMD, "#$1-$2$4-$3$5"), "'#'yyyy-M-d")
+    return F.coalesce(ymd, F.try_to_date(F.regexp_replace(c, _DMY, "#$1 $2 $3"), "'#'d MMM yyyy"))
 
 
 def instant(c: Column) -> Column:

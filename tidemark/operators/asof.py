@@ -65,13 +65,17 @@ def asof_lookup(
     are days.  Both sides are cut into blocks of ``block_days`` and co-grouped by a hash
     of (entity, block); each group is searched with numpy at once.
     """
+    if {"entity", "at"} & set(payload):
+        raise ValueError("entity and at are columns of the result already")
     spark = events.sparkSession
+    names, payload = payload, [f"_p{i}" for i in range(len(payload))]
+    versions = versions.select("entity", "start", "end", "known", "rank", *(F.col(n).alias(p) for n, p in zip(names, payload, strict=True)))
     events = events.where(F.col("entity").isNotNull() & F.col("at").isNotNull()).select("entity", "at").distinct()
-    lo, hi = events.agg(F.min("at"), F.max("at")).first()
+    lo, hi, rows = events.agg(F.min("at"), F.max("at"), F.count("*")).first()
     kinds = {f.name: f.dataType for f in versions.schema.fields}
     schema = T.StructType([T.StructField("entity", T.StringType()), T.StructField("at", T.IntegerType()), *(T.StructField(p, kinds[p]) for p in payload)])
     if lo is None:
-        return spark.createDataFrame([], schema)
+        return spark.createDataFrame([], schema).toDF("entity", "at", *names)
     place = F.struct("rank", F.to_json(F.struct(*payload)).alias("tie"))
     until = F.coalesce(F.col("end"), F.lit(_FAR)).cast("int")
     versions = (
@@ -85,7 +89,7 @@ def asof_lookup(
     block = lambda c: F.floor(c / block_days).cast("int")
     versions = versions.where(since <= till).withColumn("block", F.explode(F.sequence(block(since), block(till))))
     events = events.withColumn("block", block(F.col("at")))
-    groups = max(shuffle_width(spark), -(-events.count() // rows_per_group))
+    groups = max(shuffle_width(spark), -(-rows // rows_per_group))
     hashed = F.pmod(F.xxhash64("entity", "block"), F.lit(groups)).cast("int")
 
     def find(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
@@ -100,4 +104,5 @@ def asof_lookup(
         events.groupBy(hashed.alias("g"))
         .cogroup(versions.groupBy(hashed.alias("g")))
         .applyInPandas(find, schema)
+        .toDF("entity", "at", *names)
     )

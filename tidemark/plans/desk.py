@@ -3,7 +3,7 @@ intervals, and attributes as known at event time."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.functions.keys import DASHES, OPEN_END, clean_key, day_number, day_text, form_part, instant, parse_day, strip, utc_day
@@ -12,6 +12,7 @@ from tidemark.operators.intervals import merge_intervals
 from tidemark.operators.references import find_orphans, orphan_counts, reference_targets
 from tidemark.operators.shred import flatten_leaf, leaf_levels
 from tidemark.plans.registry import Registry
+from tidemark.session import cut
 from tidemark.sources.tables import table
 
 REGISTRY = Registry()
@@ -166,14 +167,17 @@ def policy_terms(spark: SparkSession, d: str) -> DataFrame:
     A null or blank end is open; terms without a readable start or end, or ending before
     they start, are left out.
     """
-    t = F.col("t")
-    end = F.when(F.coalesce(strip(t["term_end"]), F.lit("")) == "", F.lit(OPEN_END).cast("date")).otherwise(parse_day(t["term_end"]))
-    return (
-        table(spark, d, "policies", POLICY_TERMS)
-        .select(clean_key(F.col("policy_number")).alias("policy_number"), "recorded_at", F.explode("terms").alias("t"))
-        .select("policy_number", "recorded_at", t["forms"].alias("forms"), day_number(parse_day(t["term_start"])).alias("s"), day_number(end).alias("e"))
-        .where(F.col("s") <= F.col("e"))
-    )
+
+
+    def read(t: Column) -> Column:
+        open_ = F.coalesce(F.regexp_replace(t["term_end"], r"(?U)\s+", ""), F.lit("")) == ""
+        end = F.when(open_, F.lit(OPEN_END).cast("date")).otherwise(parse_day(t["term_end"]))
+        return F.struct(day_number(parse_day(t["term_start"])).alias("s"), day_number(end).alias("e"), t["forms"].alias("forms"))
+
+    rows = table(spark, d, "policies", POLICY_TERMS).select(clean_key(F.col("policy_number")).alias("policy_number"), "recorded_at", F.transform("terms", read).alias("terms"))
+    # the outer form, as else a filter would be inferred that reads every term once more
+    kept = rows.select("policy_number", "recorded_at", F.filter("terms", lambda x: x["s"] <= x["e"]).alias("terms"))
+    return kept.select("policy_number", "recorded_at", F.expr("inline_outer(terms)")).where("s IS NOT NULL")
 
 
 @REGISTRY.add(
@@ -219,7 +223,7 @@ SELECT DISTINCT claim_id, strftime(s, '%Y-%m-%d') AS term_start, form AS form_nu
 )
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
     """Term and form editions of each claim as valid and on record on the day of loss."""
-    lost = (
+    lost = cut(
         table(spark, d, "claims")
         .select("claim_id", clean_key(F.col("policy_number")).alias("policy"), day_number(parse_day(F.col("date_of_loss"))).alias("day"))
         .where(F.col("policy").isNotNull() & F.col("day").isNotNull())
@@ -234,7 +238,7 @@ def p6_found(spark: SparkSession, d: str) -> DataFrame:
         F.col("s").alias("term_start"),
         "forms",
     )
-    held = (
+    held = cut(
         asof_lookup(lost.select(F.col("policy").alias("entity"), F.col("day").alias("at")), terms, ["term_start", "forms"])
         .select(F.col("entity").alias("policy"), F.col("at").alias("day"), "term_start", F.explode(F.transform("forms", form_part)).alias("form"))
         .where(F.col("form").isNotNull())
