@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.keys import utc_month
 from tidemark.operators.joins import HOT_PARTS, hot_keys, salted_join
+from tidemark.session import cut
 
 
 def reference_targets(df: DataFrame, target: str, key: str, first: str, deleted: str) -> DataFrame:
@@ -31,27 +32,28 @@ def find_orphans(refs: DataFrame, targets: DataFrame) -> DataFrame:
     missing ones, a join the ones whose dates can clash; only these suspects are joined
     back to the references, salted where one key holds a large part of the rows.
     """
-    refs = refs.where(F.col("ref").isNotNull())
-    keys = refs.groupBy("target", "ref").agg(F.count("*").alias("n"), F.min("at").alias("lo"), F.max("at").alias("hi"))
+    refs = refs.select("src", "rec_id", "target", "ref", "at").where(F.col("ref").isNotNull())
+    targets = targets.select("target", "ref", "first_at", "gone_at")
+    keys = cut(refs.groupBy("target", "ref").agg(F.count("*").alias("n"), F.min("at").alias("lo"), F.max("at").alias("hi")))
     nothing = F.lit(None).cast("timestamp")
     missing = keys.join(targets, ["target", "ref"], "left_anti").select(
-        "ref", "target", "n", nothing.alias("first_at"), nothing.alias("gone_at"), F.lit(True).alias("absent")
+        "ref", "target", nothing.alias("first_at"), nothing.alias("gone_at"), F.lit(True).alias("absent")
     )
     clashing = (
         keys.join(targets, ["target", "ref"])
         .where((F.col("first_at") > F.col("lo")) | (F.col("gone_at") <= F.col("hi")))
-        .select("ref", "target", "n", "first_at", "gone_at", F.lit(False).alias("absent"))
+        .select("ref", "target", "first_at", "gone_at", F.lit(False).alias("absent"))
     )
     suspects = missing.unionByName(clashing)
     total = keys.agg(F.sum("n")).first()[0] or 0
-    hot = hot_keys(suspects, "ref", total, HOT_PARTS)
+    hot = hot_keys(keys, "ref", total, HOT_PARTS)
     kind = (
         F.when(F.col("absent"), "missing")
         .when(F.col("first_at") > F.col("at"), "late")
         .when(F.col("gone_at") <= F.col("at"), "deleted")
     )
     return (
-        salted_join(refs, suspects.drop("n"), ["ref", "target"], hot, F.col("rec_id"))
+        salted_join(refs, suspects, ["ref", "target"], hot, F.col("rec_id"))
         .withColumn("kind", kind)
         .where(F.col("kind").isNotNull())
         .select("src", "rec_id", "ref", "kind", utc_month(F.col("at")).alias("period"))
