@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -106,3 +107,65 @@ def same_hyphens(text: Column) -> Column:
 def rounded_fraction(k: Column, n: Column) -> Column:
     """``k/n pct%`` as text."""
     return F.format_string("%d/%d %d%%", k.cast("long"), n.cast("long"), F.round(F.coalesce(100 * F.try_divide(k, n), F.lit(0.0))).cast("long"))
+
+
+def contains_word(payload: Column, words: Sequence[str]) -> Column:
+    """Whether a serialised record holds one of the words, whole and in any case."""
+    return F.coalesce(payload, F.lit("")).rlike(r"(?i)\b(?:" + "|".join(words) + r")\b")
+
+
+def quota_fields(message: Column) -> Column:
+    """Unit, limit, used, requested and wait of a quota message; unit ``unknown`` where unreadable."""
+    number = lambda name: or_null(F.regexp_extract(message, rf"(?i){name}\D{{0,3}}(\d+)", 1)).cast("long")
+    unit = or_null(F.regexp_extract(message, r"\b(TPM|TPD|RPM|RPD)\b", 1))
+    return F.struct(
+        F.coalesce(unit, F.lit("unknown")).alias("unit"), number("limit").alias("limit"), number("used").alias("used"),
+        number("requested").alias("requested"), wait_seconds(message).alias("wait_s"),
+    )
+
+
+def numeric_entries(headers: Column) -> Column:
+    """The entries of a string map whose values are numbers, as numbers."""
+    return F.map_filter(F.transform_values(headers, lambda k, v: v.try_cast("double")), lambda k, v: v.isNotNull())
+
+
+def route(user: Column, canary: Sequence[str], active: str, trial: str) -> Column:
+    """The version a user gets: the trial one for canary users."""
+    return F.when(F.coalesce(user.isin(list(canary)), F.lit(False)), trial).otherwise(active)
+
+
+def render(template: str, values: dict[str, Column]) -> Column:
+    """A template's ``{name}`` marks replaced; values are not looked into for further marks."""
+    parts, rest = [], template
+    while rest:
+        at = min(((rest.find("{" + k + "}"), k) for k in values if "{" + k + "}" in rest), default=None)
+        if at is None:
+            parts.append(F.lit(rest))
+            break
+        parts += [F.lit(rest[: at[0]]), F.coalesce(values[at[1]].cast("string"), F.lit(""))]
+        rest = rest[at[0] + len(at[1]) + 2 :]
+    return F.concat(*parts) if parts else F.lit("")
+
+
+def problems(**tests: Column) -> Column:
+    """The names of the tests that did not hold, in order; a null test did not hold."""
+    return F.filter(F.array(*(F.when(~F.coalesce(t, F.lit(False)), F.lit(n)) for n, t in tests.items())), lambda x: x.isNotNull())
+
+
+def split_first(text: Column, mark: str = ":") -> Column:
+    """``(head, tail)`` around the first mark; later marks stay in the tail, which is null without one."""
+    at = F.instr(text, mark)
+    head = F.when(at > 0, F.substring(text, F.lit(1), at - 1)).otherwise(text)
+    return F.struct(F.trim(head).alias("head"), F.when(at > 0, F.trim(F.substring(text, at + len(mark), F.length(text)))).alias("tail"))
+
+
+def text_diff(before: Column, after: Column) -> Column:
+    """A unified diff of two texts, empty where equal; an Arrow UDF, as no built-in does this."""
+
+    @F.pandas_udf("string")
+    def diff(a: pd.Series, b: pd.Series) -> pd.Series:
+        import difflib
+
+        return pd.Series(["\n".join(difflib.unified_diff((x or "").splitlines(), (y or "").splitlines(), "before", "after", lineterm="")) for x, y in zip(a, b, strict=True)])
+
+    return F.when(before.eqNullSafe(after), F.lit("")).otherwise(diff(before, after))

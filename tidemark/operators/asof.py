@@ -94,7 +94,7 @@ def asof_lookup(
 
     def find(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         codes = pd.factorize(pd.concat([left["entity"], right["entity"]], ignore_index=True))[0]
-        right = right.assign(code=codes[len(left) :]).sort_values(["code", "start", "rank", "known", "tie"], kind="stable")
+        right = right.assign(code=codes[len(left) :]).sort_values(["code", "start", "rank", "tie"], kind="stable")
         hit = search_versions(codes[: len(left)], left["at"].to_numpy(), right["code"].to_numpy(), right["start"].to_numpy(), right["end"].to_numpy(), right["known"].to_numpy())
         got = hit >= 0
         rows = right.iloc[hit[got]]

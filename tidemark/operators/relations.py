@@ -93,3 +93,28 @@ def stratified_sample(df: DataFrame, stratum: str, key: str, n: int, seed: int)
     """At most ``n`` rows of each stratum, by seeded hash order."""
     draw = F.sha2(F.concat(F.col(key).cast("string"), F.lit(f":{seed}")), 256)
     return ranked(df.withColumn("_d", draw), [stratum], F.lit(0), ["_d", key], n).drop("_d", "rank")
+
+
+def by_id(df: DataFrame, key: str, value: object) -> DataFrame:
+    """The rows of one key; an error when there are none."""
+    found = df.where(F.col(key) == value)
+    n = found.agg(F.count("*").alias("_n"))
+    sure = F.when(F.col("_n") > 0, True).otherwise(F.raise_error(F.lit(f"no {key} {value}")).cast("boolean"))
+    return n.where(sure).join(found).drop("_n")  # one row on the left
+
+
+def upsert(current: DataFrame, changes: DataFrame, keys: Sequence[str], order: Sequence[Column]) -> DataFrame:
+    """One row per key out of what is there and what comes in, the last in ``order``."""
+    return latest_per_key(current.unionByName(changes, allowMissingColumns=True), keys, order)
+
+
+def containing_texts(texts: DataFrame, key: str, text: str, markers: DataFrame, marker: str, pattern: str) -> DataFrame:
+    """``(key, marker)``: markers that stand in a text.  Both sides are joined on the tokens that
+    ``pattern`` finds in the texts, not compared pair by pair."""
+    found = texts.select(key, F.explode(F.array_distinct(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)))).alias(marker))
+    return found.join(markers.select(marker).distinct(), marker).select(key, marker)
+
+
+def last_best(df: DataFrame, by: Sequence[str], score: str, index: str, keep: str) -> DataFrame:
+    """``(*by, keep)`` of the highest score; of equal ones that of the highest index."""
+    return df.groupBy(*by).agg(F.max_by(keep, F.struct(score, index)).alias(keep))

@@ -104,3 +104,21 @@ def scale_to_total(parts: Sequence[Column], total: Column) -> list[Column]:
     scaled = [F.coalesce(F.round(F.try_divide(F.coalesce(p, F.lit(0)) * total, whole)), F.lit(0.0)).cast("long") for p in parts]
     rest = total - sum(scaled, F.lit(0))
     return [scaled[0] + rest, *scaled[1:]]
+
+
+def unseen_values(df: DataFrame, key: str, items: str, used: Column, produced: Column) -> DataFrame:
+    """``(key, pos, value)``: values that an item uses although no earlier item of its trace had
+    produced them.  ``used`` and ``produced`` are arrays over the element ``x``."""
+    flat = df.select(key, F.posexplode(items).alias("pos", "x")).select(key, "pos", F.coalesce(used, F.array().cast("array<string>")).alias("u"), F.coalesce(produced, F.array().cast("array<string>")).alias("p"))
+    first = flat.select(key, "pos", F.explode("p").alias("value")).groupBy(key, "value").agg(F.min("pos").alias("since"))
+    asked = flat.select(key, "pos", F.explode("u").alias("value")).distinct()
+    return asked.join(first, [key, "value"], "left").where(F.col("since").isNull() | (F.col("since") >= F.col("pos"))).select(key, "pos", "value")
+
+
+def budget_left(df: DataFrame, key: str, items: str, value: Column, most: float, cap: float) -> DataFrame:
+    """``(key, pos, left)``: what each item may use at most: the budget less what earlier items
+    used, not under zero and not over ``cap``."""
+    flat = df.select(key, F.posexplode(items).alias("pos", "x"))
+    over = Window.partitionBy(key).orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
+    spent = F.coalesce(F.sum(F.coalesce(value, F.lit(0))).over(over), F.lit(0))
+    return flat.select(key, "pos", F.least(F.lit(cap), F.greatest(F.lit(0), F.lit(most) - spent)).cast("double").alias("left"))

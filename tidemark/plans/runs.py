@@ -404,3 +404,79 @@ def event_offsets(spark: SparkSession, d: str) -> DataFrame:
     events = table(spark, d, "events").select("user_id", "event_id", F.unix_micros(F.col("ts").cast("timestamp")).alias("us"))
     first = events.groupBy("user_id").agg(F.min("us").alias("first"))
     return events.join(first, "user_id").select("user_id", "event_id", (F.col("us") - F.col("first")).alias("offset_us"))
+
+
+# ---- budgets and evidence -----------------------------------------------------------------
+
+
+@Q("budget_left", f"""
+WITH l AS (SELECT run_id, i - 1 AS pos, laps[i] AS x FROM (SELECT run_id, laps, {_LAPS} FROM {RACE('laps')}))
+SELECT run_id, CAST(pos AS INTEGER) AS pos, CAST(least(4096, greatest(0, 9000 - coalesce(sum(coalesce(x.prompt_tokens, 0)) OVER (PARTITION BY run_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))) AS DOUBLE) AS "left" FROM l""")
+def budget_left(spark: SparkSession, d: str) -> DataFrame:
+    return traces.budget_left(races(spark, d, "laps"), "run_id", "laps", F.col("x.prompt_tokens"), 9000, 4096)
+
+
+_CLAIM = "CLM-\\d{4}-\\d{8}"
+
+
+@Q("unseen_claims", f"""
+WITH c AS (SELECT claim_id, i - 1 AS pos, tool_calls[i] AS x FROM (SELECT claim_id, tool_calls, unnest(range(1, coalesce(len(tool_calls), 0) + 1)) AS i FROM {TRAJ('tool_calls')})),
+u AS (SELECT DISTINCT claim_id, pos, unnest(regexp_extract_all(x.args, '{_CLAIM}')) AS value FROM c),
+p AS (SELECT claim_id, value, min(pos) AS since FROM (SELECT claim_id, pos, unnest(regexp_extract_all(coalesce(x.args, '') || coalesce(x.returned, ''), '{_CLAIM}')) AS value FROM c) GROUP BY ALL)
+SELECT claim_id, CAST(pos AS INTEGER) AS pos, value FROM u LEFT JOIN p USING (claim_id, value) WHERE since IS NULL OR since >= pos""")
+def unseen_claims(spark: SparkSession, d: str) -> DataFrame:
+    """Claim numbers in arguments that no earlier call of the trajectory had mentioned."""
+    ids = lambda c: F.regexp_extract_all(c, F.lit(r"CLM-\d{4}-\d{8}"), F.lit(0))
+    both = F.concat(F.coalesce("x.args", F.lit("")), F.coalesce("x.returned", F.lit("")))
+    return traces.unseen_values(trajectories(spark, d, "tool_calls"), "claim_id", "tool_calls", ids(F.col("x.args")), ids(both))
+
+
+@Q("scaled_parts", f"""
+WITH r AS (SELECT run_id, tokens, prompt_tokens AS a, completion_tokens AS b FROM {RACE('tokens, prompt_tokens, completion_tokens')}),
+s AS (SELECT run_id, tokens * 2 AS t, CAST(coalesce(round(a * (tokens * 2) / nullif(a + b, 0)), 0) AS BIGINT) AS x, CAST(coalesce(round(b * (tokens * 2) / nullif(a + b, 0)), 0) AS BIGINT) AS y FROM r)
+SELECT run_id, x + (t - x - y) AS prompt, y AS completion FROM s""")
+def scaled_parts(spark: SparkSession, d: str) -> DataFrame:
+    """Prompt and completion scaled to twice the run's tokens, the rounding left to the prompt."""
+    rows = races(spark, d, "tokens", "prompt_tokens", "completion_tokens")
+    prompt, completion = traces.scale_to_total([F.col("prompt_tokens"), F.col("completion_tokens")], F.col("tokens").cast("long") * 2)
+    return rows.select("run_id", prompt.alias("prompt"), completion.alias("completion"))
+
+
+@Q("canary_routes", f"SELECT CASE WHEN source IN ('production', 'canary') THEN 'v4' ELSE 'v3' END AS version, count(*) AS n FROM {ATT('source')} GROUP BY 1")
+def canary_routes(spark: SparkSession, d: str) -> DataFrame:
+    from tidemark.functions.text import route
+
+    return attempts(spark, d, "source").groupBy(route(F.col("source"), ["production", "canary"], "v3", "v4").alias("version")).agg(F.count("*").alias("n"))
+
+
+@Q("drift_problems", f"SELECT trace_id, array_to_string(list_filter([CASE WHEN NOT coalesce(len(citations) > 0, false) THEN 'cites' END, CASE WHEN NOT coalesce(best_dense_score >= 0.35, false) THEN 'score' END, CASE WHEN error IS NOT NULL THEN 'error' END], lambda x: x IS NOT NULL), ' ') AS problems FROM {DEMO('citations, best_dense_score, error')}")
+def drift_problems(spark: SparkSession, d: str) -> DataFrame:
+    from tidemark.functions.text import problems
+
+    rows = demos(spark, d, "citations", "best_dense_score", "error")
+    found = problems(cites=F.size("citations") > 0, score=F.col("best_dense_score") >= 0.35, error=F.col("error").isNull())
+    return rows.select("trace_id", F.array_join(found, " ").alias("problems"))
+
+
+@Q("banned_words", f"SELECT source, count(*) FILTER (regexp_matches(coalesce(summary, ''), '(?i)\\b(?:covered|uncovered)\\b')) AS hits, count(*) AS n FROM {ATT('source, summary')} GROUP BY source")
+def banned_words(spark: SparkSession, d: str) -> DataFrame:
+    from tidemark.functions.text import contains_word
+
+    return attempts(spark, d, "source", "summary").groupBy("source").agg(F.count_if(contains_word(F.col("summary"), ["covered", "uncovered"])).alias("hits"), F.count("*").alias("n"))
+
+
+@Q("named_grounds", f"SELECT id, x.form AS form FROM (SELECT id, unnest(list_distinct(regexp_extract_all(grounds, '[A-Z]{{2}}-\\d{{4}}'))) AS f FROM {ATT('grounds')}), (SELECT DISTINCT form_number AS form FROM chunks) x WHERE f = x.form")
+def named_grounds(spark: SparkSession, d: str) -> DataFrame:
+    """Forms of the library that stand in the grounds given."""
+    from tidemark.operators.relations import containing_texts
+
+    forms = table(spark, d, "chunks").select(F.col("form_number").alias("form"))
+    return containing_texts(attempts(spark, d, "grounds"), "id", "grounds", forms, "form", r"[A-Z]{2}-\d{4}")
+
+
+@Q("best_retrieved", f"SELECT trace_id, r.chunk_id AS chunk_id FROM (SELECT trace_id, unnest(retrieved) AS r FROM {DEMO('retrieved')}) QUALIFY row_number() OVER (PARTITION BY trace_id ORDER BY r.score DESC, r.rank DESC) = 1")
+def best_retrieved(spark: SparkSession, d: str) -> DataFrame:
+    from tidemark.operators.relations import last_best
+
+    flat = demos(spark, d, "retrieved").select("trace_id", F.explode("retrieved").alias("r")).select("trace_id", "r.chunk_id", "r.score", "r.rank")
+    return last_best(flat, ["trace_id"], "score", "rank", "chunk_id")
