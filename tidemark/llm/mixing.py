@@ -86,6 +86,22 @@ def flight(chance: np.ndarray, size: np.ndarray, rng: random.Random, count: bool
     return np.array(p)
 
 
+def land(chance: np.ndarray, size: np.ndarray, rng: random.Random) -> np.ndarray:
+    """Decides the units still open: the count is let go, the size alone balanced, large units
+    first; what the last one misses is made up by turning over units of the right size."""
+    p, at = np.round(chance), np.flatnonzero((chance > _EPS) & (chance < 1 - _EPS))
+    at = at[np.argsort(-size[at], kind="stable")]
+    want = float((chance[at] * size[at]).sum())
+    p[at] = np.round(flight(chance[at], size[at], rng, count=False))
+    for _ in range(64):
+        miss = want - float((p[at] * size[at]).sum())
+        turn = at[(p[at] == (0 if miss > 0 else 1)) & (size[at] > 0) & (size[at] <= abs(miss))]
+        if not len(turn):
+            break
+        p[turn[0]] = 1 - p[turn[0]]
+    return p
+
+
 def reserve_of(n: int) -> int:
     """Documents of a group that wait for the last flight, to make up for large open ones."""
     return min(n, 500, n // 10 + 60)
@@ -99,10 +115,7 @@ def _flier(last: bool, seed: int):
         main = len(p) - reserve_of(len(p))
         p[:main] = flight(p[:main], size[:main], rng)
         if last:
-            # landing: the count is let go, what is open balances the size alone, large ones first
-            rest = np.flatnonzero((p > _EPS) & (p < 1 - _EPS))
-            rest = rest[np.argsort(-size[rest], kind="stable")]
-            p[rest] = np.round(flight(p[rest], size[rest], rng, count=False))
+            p = land(p, size, rng)
         return pdf.assign(chance=p)
 
     return fly

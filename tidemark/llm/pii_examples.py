@@ -60,6 +60,7 @@ Met {name} at {addr}; {item} photographed.
 Moved in with {name}, {addr}, until {item} is fixed.
 {name} and {name} both say the valve was closed.
 Signed: {name}
+Signed: {name}
 Can I tell {name} at {tel} that {form} pays for {item}?
 Our file has {name} at {addr} but the caller gave {tel}. Does it matter for {form}?
 {name}'s claim {claim}: is {item} covered? Insured's number is {tel}.
@@ -197,7 +198,7 @@ class Slots:
         return self.r.choice(
             (
                 f"+33 1 {d(2)} {d(2)} {d(2)} {d(2)}", f"+44 7700 {d(6)}", f"+49 (0)30 {d(5)} {d(3)}", f"020 {d(4)} {d(4)}", f"+1-{d(3)}-{d(3)}-{d(4)}",
-                f"+1 {d(3)} {d(3)} {d(4)}", f"({d(3)}){d(3)} {d(2)} {d(2)}", f"({d(3)}) {d(3)}-{d(4)}", f"001 {d(3)}/{d(3)} {d(4)}", f"{d(3)}.{d(3)}.{d(4)}", f"{d(3)}-{d(3)}-{d(4)}", f"555{d(7)}",
+                f"+1 {d(3)} {d(3)} {d(4)}", f"({d(3)}){d(3)} {d(2)} {d(2)}", f"({d(3)}) {d(3)}-{d(4)}", f"001 {d(3)}/{d(3)} {d(4)}", f"{d(3)}.{d(3)}.{d(4)}", f"{d(3)}-{d(3)}-{d(4)}", f"555{d(7)}", f"555{d(7)}",
             )
         )
 
@@ -268,7 +269,7 @@ _SLOT = re.compile(r"\{(\w+)\}")
 _KIND = {"name": "name", "email": "email", "tel": "phone", "id": "id_number", "addr": "address"}
 
 
-def labelled_table(size: int = 6000, seed: int = 11) -> list[tuple[str, list[tuple[int, int, str]]]]:
+def labelled_table(size: int = 9000, seed: int = 11) -> list[tuple[str, list[tuple[int, int, str]]]]:
     """``size`` texts with their items as (start, end, kind); the same for the same seed."""
     slots, rows = Slots(seed), []
     r = slots.r
@@ -276,7 +277,7 @@ def labelled_table(size: int = 6000, seed: int = 11) -> list[tuple[str, list[tup
         text, items = "", []
         if r.random() < 0.45:
             text = slots.other("date") + " "
-        for part in range(2 if r.random() < 0.12 else 1):
+        for part in range(2 if r.random() < 0.25 else 1):
             pattern = (PATTERNS if r.random() < 0.68 else PLAIN)[0:]
             pattern = pattern[(k + part) % len(pattern)] if r.random() < 0.7 else r.choice(pattern)
             text += " " if part else ""
