@@ -167,13 +167,19 @@ def _calibrate(model: Model, own: Sentences, y: np.ndarray, held: np.ndarray, le
 
 
 def train_from_tables(documents: DataFrame, labels: DataFrame, areas: DataFrame, labelled: int = LABELLED, unlabelled: int = UNLABELLED) -> Model:
-    """Fit on at most ``labelled`` labelled and ``unlabelled`` other documents, drawn by hash of
-    their ids; ``areas`` is the fixed list of subjects with descriptions."""
+    """Fit on about ``labelled`` labelled and ``unlabelled`` other documents (never twice as
+    many), drawn by hash of their ids; ``areas`` is the fixed list of subjects with descriptions."""
     named = {r["subject"]: r["description"] for r in areas.collect()}
-    marks = labels.groupBy("doc_id").agg(F.collect_set("subject").alias("areas")).orderBy(F.xxhash64("doc_id")).limit(labelled)
-    known = documents.join(marks, "doc_id").where("text IS NOT NULL").select("doc_id", "text", "areas").collect()
-    rest = documents.join(labels.select("doc_id").distinct(), "doc_id", "left_anti").where("text IS NOT NULL AND text != ''")
-    others = rest.orderBy(F.xxhash64("doc_id")).limit(unlabelled).select("doc_id", "text").collect()
+
+    def drawn(df: DataFrame, most: int) -> DataFrame:
+        """About ``most`` of the ids by hash; a filter, so no task and no driver holds more."""
+        n = df.count()
+        return df.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < int((1 << 30) * min(1.0, 1.1 * most / max(1, n))))
+
+    marks = labels.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.collect_set("subject").alias("areas"))
+    known = documents.join(drawn(marks, labelled), "doc_id").where("text IS NOT NULL").select("doc_id", "text", "areas").limit(2 * labelled).collect()
+    rest = documents.select("doc_id").join(marks, "doc_id", "left_anti")
+    others = documents.join(drawn(rest, unlabelled), "doc_id").where("text IS NOT NULL AND text != ''").select("doc_id", "text").limit(2 * unlabelled).collect()
     hints = [(s, d) for s, d in sorted(named.items()) if d]
     known.sort(key=lambda r: r["doc_id"])
     others.sort(key=lambda r: r["doc_id"])
