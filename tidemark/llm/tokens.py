@@ -125,14 +125,17 @@ def encode_corpus(df: DataFrame, key: str, text: str, ranks: bytes, known: int =
     whole texts of any length are encoded, other columns are ignored.
 
     Plan: words are split in the JVM and counted with partial aggregation; each distinct word
-    is encoded once and the table kept.  Its ``known`` most frequent short words (a fixed
-    number: some 2 MB) are broadcast and put in place by position where the text is; only the
+    is encoded once and the table kept.  Its ``known`` most frequent short words (their number
+    is off by a ten-thousandth of the table at most: some 2 MB) are broadcast and put in place by position where the text is; only the
     remaining words, none of which can be frequent, travel to the table and back.
     """
     spark = df.sparkSession
     split = with_words(df.select(F.col(key).alias("_key"), F.col(text).alias("_text")), "_text").select("_key", "words")
     table = cut(word_table(split.select(F.explode("words").alias("word")), ranks))
-    top = table.where(F.length("word") <= 32).orderBy(F.desc("n"), "word").limit(known).select("word", "ids").collect()
+    short = table.where(F.length("word") <= 32)
+    size = short.count()
+    least = short.agg(F.percentile_approx("n", 1 - known / size, 10_000)).first()[0] if size > known else 0
+    top = short.where(F.col("n") > least).select("word", "ids").collect()
     frequent = spark.sparkContext.broadcast(KnownWords([r[0] for r in top], [list(r[1]) for r in top]))
     kind = df.schema[key].dataType.simpleString()
 
