@@ -123,12 +123,12 @@ def build_sketch(
     key = F.to_json(F.struct(*groups), {"ignoreNullFields": "false"})
     w = F.col(weight).cast("long") if weight else F.lit(1).cast("long")
     rows = df.where(F.col(value).isNotNull() & ~F.isnan(value)).select(key.alias("g"), F.col(value).cast("double").alias("v"), w.alias("w"), F.xxhash64(spread).alias("h"))
-    sizes = rows.groupBy("g").agg(F.ceil(F.count("*") / chunk).cast("int").alias("tasks"))
-    big = {r["g"]: r["tasks"] for r in sizes.where("tasks > 1").orderBy(F.desc("tasks")).limit(1000).collect()}
-    tasks = F.lit(1)
-    if big:
-        tasks = F.coalesce(F.element_at(F.create_map(*(F.lit(x) for kv in big.items() for x in kv)), F.col("g")), F.lit(1))
-    rows = rows.withColumn("salt", F.pmod("h", tasks)).repartition("g", "salt").select("g", "v", "w")
+    # at most 1000 groups are split; by then those left hold under a thousandth of the rows each
+    sizes = rows.groupBy("g").agg(F.ceil(F.count("*") / chunk).cast("int").alias("tasks")).where("tasks > 1")
+    total = rows.count()
+    big = sizes.where(F.col("tasks") * chunk > total / 1000)
+    rows = rows.join(F.broadcast(big), "g", "left").withColumn("salt", F.pmod("h", F.coalesce("tasks", F.lit(1))))
+    rows = rows.repartition("g", "salt").select("g", "v", "w")
 
     def sketch(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         dense: dict[str, np.ndarray] = {}
