@@ -21,6 +21,12 @@ def hot_keys(counts: DataFrame, key: str, total: int, parts: int = HOT_PARTS) ->
     return [row[0] for row in hot.collect()]
 
 
+def hot_values(df: DataFrame, key: str, parts: int = HOT_PARTS) -> list:
+    """Hot keys of a table that is cheap to read twice (a kept one)."""
+    counts = df.groupBy(F.col(key).alias("key")).agg(F.count("*").alias("n"))
+    return hot_keys(counts, "key", df.count(), parts)
+
+
 def salted_join(
     facts: DataFrame,
     dim: DataFrame,

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from tidemark.functions.keys import DASHES, OPEN_END, clean_key, day_number, day_text, form_part, instant, parse_day, strip, utc_day
 from tidemark.operators.asof import asof_lookup
 from tidemark.operators.intervals import merge_intervals
+from tidemark.operators.joins import hot_values, salted_join
 from tidemark.operators.references import find_orphans, orphan_counts, reference_targets
 from tidemark.operators.shred import flatten_leaf, leaf_levels
 from tidemark.plans.registry import Registry
@@ -251,9 +252,10 @@ def p6_found(spark: SparkSession, d: str) -> DataFrame:
         .select("entity", "start", F.lit(None).cast("int").alias("end"), "known", F.lit(0).cast("long").alias("rank"), "edition")
     )
     found = asof_lookup(held.select(F.col("form").alias("entity"), F.col("day").alias("at")), editions, ["edition"])
-    chosen = held.join(found.select(F.col("entity").alias("form"), F.col("at").alias("day"), "edition"), ["form", "day"])
+    found = found.select(F.col("entity").alias("form"), F.col("at").alias("day"), "edition")
+    chosen = salted_join(held, found, ["form", "day"], hot_values(held, "form"), F.col("policy"))
     return (
-        lost.join(chosen, ["policy", "day"])
+        salted_join(lost, chosen, ["policy", "day"], hot_values(lost, "policy"), F.col("claim_id"))
         .select("claim_id", day_text(F.col("term_start")).alias("term_start"), F.col("form").alias("form_number"), "edition")
         .distinct()
     )
