@@ -9,12 +9,15 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.operators.joins import hot_keys, salted_join
 from tidemark.operators.relations import ranked
+from tidemark.session import cut
 
 #: A lexical token, and the public defaults of the Okapi ranking.
 TOKEN = r"[a-z0-9\-]+"
 K1, B, EPSILON = 1.5, 0.75, 0.25
 RRF_K = 60
+BUCKETS = 64  # of the stand-in for an embedding
 
 
 def tokenize(text: Column) -> Column:
@@ -39,19 +42,24 @@ def bm25(queries: DataFrame, docs: DataFrame, query: str, question: str, key: st
 
     Inverse document frequency ``ln(n - df + .5) - ln(df + .5)``; a negative one is replaced by
     a quarter of the mean.  A term asked twice counts twice.  Statistics cover all documents.
+
+    Plan: the postings are built once and kept; terms that hold more than 1/64 of them are
+    salted by document in the join with the questions.
     """
-    index = postings(docs, key, text)
+    index = cut(postings(docs, key, text))
     size = docs.select(F.size(tokenize(F.col(text))).alias("dl")).agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
-    df = index.groupBy("term").agg(F.count("*").alias("df")).join(F.broadcast(size))  # one row
-    idf = df.withColumn("raw", F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))
+    df = index.groupBy("term").agg(F.count("*").alias("df"))
+    hot = hot_keys(df.withColumnRenamed("df", "n"), "term", index.count())
+    idf = df.join(F.broadcast(size)).withColumn("raw", F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))
     mean = idf.agg((F.avg("raw") * EPSILON).alias("floor"))
     idf = idf.join(F.broadcast(mean)).select("term", "avgdl", F.when(F.col("raw") < 0, F.col("floor")).otherwise(F.col("raw")).alias("idf"))  # one row
     asked = queries.select(query, F.explode(tokenize(F.col(question))).alias("term")).groupBy(query, "term").agg(F.count("*").alias("times"))
     part = F.col("times") * F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
-    return asked.join(idf, "term").join(index, "term").groupBy(query, key).agg(F.round(F.sum(part), 6).alias("score"))
+    found = salted_join(index, asked.join(idf, "term"), ["term"], hot, F.col(key))
+    return found.groupBy(query, key).agg(F.round(F.sum(part), 6).alias("score"))
 
 
-def hashed_vector(docs: DataFrame, key: str, text: str, buckets: int = 64) -> DataFrame:
+def hashed_vector(docs: DataFrame, key: str, text: str, buckets: int = BUCKETS) -> DataFrame:
     """``(key, bucket, w)``: a deterministic stand-in for an embedding model, unit length."""
     bucket = F.pmod(F.conv(F.substring(F.md5(F.col("term")), 1, 8), 16, 10).cast("long"), F.lit(buckets)).cast("int")
     words = docs.select(key, F.explode(tokenize(F.col(text))).alias("term")).select(key, bucket.alias("bucket"))
@@ -61,9 +69,13 @@ def hashed_vector(docs: DataFrame, key: str, text: str, buckets: int = 64) -> Da
 
 
 def sparse_cosine(queries: DataFrame, docs: DataFrame, query: str, key: str) -> DataFrame:
-    """``(query, key, score)`` of sparse unit vectors, by a join on their buckets."""
+    """``(query, key, score)`` of sparse unit vectors, by a join on their buckets.
+
+    There are few buckets, so each is hot: the documents of a bucket are spread by their keys.
+    """
     q = queries.select(query, "bucket", F.col("w").alias("qw"))
-    return q.join(docs, "bucket").groupBy(query, key).agg(F.round(F.sum(F.col("qw") * F.col("w")), 6).alias("score"))
+    found = salted_join(docs, q, ["bucket"], list(range(BUCKETS)), F.col(key), salts=8)
+    return found.groupBy(query, key).agg(F.round(F.sum(F.col("qw") * F.col("w")), 6).alias("score"))
 
 
 def vector_topk(queries: DataFrame, corpus: DataFrame, key: str, vector: str, k: int, cell: int = 2000) -> DataFrame:
