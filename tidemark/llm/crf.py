@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import re
 import zlib
+from collections import defaultdict
 from collections.abc import Sequence
+from functools import lru_cache
 
 import numpy as np
 
@@ -19,6 +21,7 @@ def shape(word: str) -> str:
     return re.sub(r"(X|x)\1{3,}", r"\1\1\1+", long)
 
 
+@lru_cache(maxsize=200_000)
 def word_features(word: str) -> list[int]:
     low, form = word.lower(), shape(word)
     feats = [f"w={low}", f"s={form}", f"c={re.sub(r'(.)\1+', r'\1', form)}", f"n={min(len(word), 12)}"]
@@ -35,15 +38,18 @@ class Batch:
     """Texts as one padded run of token ids with ``REACH`` blanks between them."""
 
     def __init__(self, texts: Sequence[str]):
-        self.spans = [[m.span() for m in TOKEN.finditer(t)] for t in texts]
-        vocab: dict[str, int] = {"": 0}
-        flat, starts = [0] * REACH, []
-        for text, spans in zip(texts, self.spans, strict=True):
+        self.texts = texts
+        vocab: defaultdict[str, int] = defaultdict(None, {"": 0})
+        vocab.default_factory = vocab.__len__
+        blank, flat, starts, sizes = [0] * REACH, [0] * REACH, [], []
+        for text in texts:
+            words = TOKEN.findall(text)
             starts.append(len(flat))
-            flat += [vocab.setdefault(text[a:b], len(vocab)) for a, b in spans]
-            flat += [0] * REACH
+            sizes.append(len(words))
+            flat += map(vocab.__getitem__, words)
+            flat += blank
         self.ids, self.starts = np.array(flat, np.int64), np.array(starts, np.int64)
-        self.sizes = np.array([len(s) for s in self.spans], np.int64)
+        self.sizes = np.array(sizes, np.int64)
         self.words = list(vocab)
         feats = [[zlib.crc32(b"edge") % WORDS], *map(word_features, self.words[1:])]
         self.fw = np.repeat(np.arange(len(feats)), [len(f) for f in feats])
@@ -54,6 +60,9 @@ class Batch:
         low = np.array([zlib.crc32(w.lower().encode()) % 1_000_003 for w in self.words], np.int64)[self.ids]
         self.pairs = np.stack([_pair(prv, s), _pair(s, nxt) ^ 1, _pair(_pair(prv, s), nxt) ^ 2, _pair(np.roll(low, 1), s) ^ 3, _pair(s, np.roll(low, -1)) ^ 4])
 
+    def spans(self, i: int) -> list[tuple[int, int]]:
+        return [m.span() for m in TOKEN.finditer(self.texts[i])]
+
     def padded(self, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Places (sequence, step) in the run, and which of them are tokens."""
         step = np.arange(max(1, self.sizes[which].max()))
@@ -126,7 +135,7 @@ class Crf:
                     last = np.where(there[:, t], prev, last)
             hits = np.flatnonzero(((path > 0) & there).any(1))
             for i in hits:
-                found[which[i]] = self._items(path[i, : b.sizes[which[i]]], b.spans[which[i]])
+                found[which[i]] = self._items(path[i, : b.sizes[which[i]]], b.spans(which[i]))
         return found
 
     def _items(self, path: np.ndarray, spans: list[tuple[int, int]]) -> list[tuple[int, int, str]]:
@@ -151,9 +160,10 @@ class Crf:
             b = Batch([table[i][0] for i in g])
             gold = np.zeros(len(b.ids), np.int64)
             for k, i in enumerate(g):
+                spans = b.spans(k)
                 for start, end, kind in table[i][1]:
                     begun = False
-                    for t, (a, z) in enumerate(b.spans[k]):
+                    for t, (a, z) in enumerate(spans):
                         if a >= start and z <= end:
                             gold[b.starts[k] + t] = index[("I-" if begun else "B-") + kind]
                             begun = True
