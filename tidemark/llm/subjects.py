@@ -12,6 +12,7 @@ from __future__ import annotations
 import re
 import zlib
 from collections.abc import Iterator, Sequence
+from functools import lru_cache
 from typing import NamedTuple
 
 import numpy as np
@@ -29,12 +30,10 @@ def sentences(text: str) -> list[str]:
     return [s for s in _SPLIT.split(text) if len(s) > 3]
 
 
-def sentence_features(sentence: str) -> np.ndarray:
-    """Hashes of the words and word pairs of a sentence.  Words count by their sorted
-    letters, so swapped letters and case make no difference."""
-    words = ["".join(sorted(w)) for w in _WORD.findall(sentence.lower())]
-    grams = {*words, *(f"{a} {b}" for a, b in zip(words, words[1:], strict=False))}
-    return np.fromiter((zlib.crc32(g.encode()) % SPACE for g in grams), np.int64, len(grams))
+@lru_cache(maxsize=500_000)
+def word_hash(word: str) -> int:
+    """Words count by their sorted letters, so swapped letters make no difference."""
+    return zlib.crc32("".join(sorted(word)).encode())
 
 
 class Sentences(NamedTuple):
@@ -50,13 +49,20 @@ class Sentences(NamedTuple):
 
 
 def parse(texts: Sequence[str]) -> Sentences:
-    doc, found = [], []
+    """Sentences with the hashes of their distinct words and word pairs, in any case."""
+    doc, sizes, words = [], [], []
     for i, text in enumerate(texts):
-        for s in sentences(text):
+        for sentence in sentences(text):
+            found = _WORD.findall(sentence.lower())
             doc.append(i)
-            found.append(sentence_features(s))
-    sizes = [len(f) for f in found]
-    return Sentences(np.array(doc, np.int64), np.repeat(np.arange(len(found)), sizes), np.concatenate(found) if found else np.zeros(0, np.int64))
+            sizes.append(len(found))
+            words += map(word_hash, found)
+    h, row = np.array(words, np.int64), np.repeat(np.arange(len(doc)), sizes)
+    pair = np.flatnonzero(row[:-1] == row[1:])
+    mixed = (h[pair] * 1_000_003 + h[pair + 1] * 7919) % 2_147_483_647
+    both = np.concatenate((row * SPACE + h % SPACE, row[pair] * SPACE + mixed % SPACE)).astype(np.int64)
+    both = np.unique(both)
+    return Sentences(np.array(doc, np.int64), both // SPACE, both % SPACE)
 
 
 class Model(NamedTuple):
