@@ -40,6 +40,8 @@ Wrong number on file. {tel} is right, {invoice} was the invoice.
 Witness {name} ({id}) signed the statement.
 {name} ({id}) reports a break-in.
 Proof of identity seen: {id}.
+Proof of identity seen: {id}.
+insured's ID on file: {id}, checked by {name}
 insured's ID on file: {id}, checked by {name}
 Cheque {num} went to {name}, ID checked ({id}).
 Payee set up, {id}, cheque to {addr}.
@@ -50,6 +52,7 @@ Llamó {name} ({tel}), domicilio {addr}, por {item}.
 Gespräch mit {name}: {item} seit Montag defekt, Rückruf unter {tel}.
 Appel de {name}, {tel}; visite au {addr}.
 Caller {name}, {tel}, says {item} is ruined.
+Caller {name}, {tel}, says {item} is ruined.
 {name} reports damage to {item}.
 {name} says {item} broke on {date}.
 Water at {addr}, {item} affected. Call {tel}.
@@ -172,7 +175,7 @@ class Slots:
         q = r.random()
         if not title and q < 0.10:
             text = text.upper()
-        elif not title and " " in text and "," not in text and q < 0.18:
+        elif not title and " " in text and "," not in text and q < 0.25:
             text = text.lower()
         return title, text, ""
 
@@ -183,9 +186,9 @@ class Slots:
         local = r.choice((f"{g}.{f}", f"{g}.{f}", f"{g}{f}", f"{g[:1]}{f}", f"{g}_{f[:4]}", f)) + r.choice(("", "", "", f"{r.randint(1, 99)}", f"+claim{r.randint(1, 99)}"))
         text = f"{local}@{r.choice(DOMAINS)}"
         p = r.random()
-        if p < 0.1:
+        if p < 0.16:
             text = text.upper()
-        elif p < 0.2:
+        elif p < 0.32:
             left, right = r.choice((("(", ")"), ("[", "]")))
             text = text.replace("@", f" {left}at{right} ")
             if r.random() < 0.6:
@@ -269,7 +272,7 @@ _SLOT = re.compile(r"\{(\w+)\}")
 _KIND = {"name": "name", "email": "email", "tel": "phone", "id": "id_number", "addr": "address"}
 
 
-def labelled_table(size: int = 9000, seed: int = 11) -> list[tuple[str, list[tuple[int, int, str]]]]:
+def labelled_table(size: int = 11_000, seed: int = 11) -> list[tuple[str, list[tuple[int, int, str]]]]:
     """``size`` texts with their items as (start, end, kind); the same for the same seed."""
     slots, rows = Slots(seed), []
     r = slots.r
@@ -277,9 +280,9 @@ def labelled_table(size: int = 9000, seed: int = 11) -> list[tuple[str, list[tup
         text, items = "", []
         if r.random() < 0.45:
             text = slots.other("date") + " "
-        for part in range(2 if r.random() < 0.25 else 1):
-            pattern = (PATTERNS if r.random() < 0.68 else PLAIN)[0:]
-            pattern = pattern[(k + part) % len(pattern)] if r.random() < 0.7 else r.choice(pattern)
+        for part in range(2 if r.random() < 0.35 else 1):
+            pattern = PATTERNS if r.random() < (0.35 if part else 0.7) else PLAIN
+            pattern = r.choice(pattern) if part else pattern[k % len(pattern)]
             text += " " if part else ""
             at = 0
             for m in _SLOT.finditer(pattern):
