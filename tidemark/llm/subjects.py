@@ -175,7 +175,7 @@ def _calibrate(model: Model, own: Sentences, y: np.ndarray, held: np.ndarray, le
 def train_from_tables(documents: DataFrame, labels: DataFrame, areas: DataFrame, labelled: int = LABELLED, unlabelled: int = UNLABELLED) -> Model:
     """Fit on about ``labelled`` labelled and ``unlabelled`` other documents (never twice as
     many), drawn by hash of their ids; ``areas`` is the fixed list of subjects with descriptions."""
-    named = {r["subject"]: r["description"] for r in areas.collect()}
+    named = {r["subject"]: r["description"] for r in areas.where("subject IS NOT NULL").collect()}
 
     def drawn(df: DataFrame, most: int) -> DataFrame:
         """About ``most`` of the ids by hash; a filter, so no task and no driver holds more."""
