@@ -14,6 +14,7 @@ from tidemark.llm.pii_examples import ABBREVIATED, KINDS, TITLES, labelled_table
 
 _AT, _DOT = r"(?:@|\s*[(\[]\s*at\s*[)\]]\s*)", r"(?:\.|\s*[(\[]\s*dot\s*[)\]]\s*)"
 _EMAIL = re.compile(rf"[^\W_][\w.+'\-]*{_AT}[\w\-]+(?:{_DOT}[\w\-]*[^\W\d_])+", re.I)
+_AT_SIGN = re.compile(r"[(\[]\s*at\s*[)\]]", re.I)
 _TITLE = re.compile(rf"^(?:{'|'.join(sorted((re.escape(t.rstrip('.')) for t in TITLES), key=len, reverse=True))})\b\.?\s*", re.I)
 _ABBREVIATION = re.compile(rf"\b(?:{'|'.join(sorted(ABBREVIATED))})$", re.I)
 _PHONE_BODY = re.compile(r"[+(\d].*\d", re.S)
@@ -68,8 +69,9 @@ def items_of(tagger: Crf, texts: list[str]) -> list[list[tuple[int, int, str]]]:
     out = []
     for text, tagged in zip(texts, tagger.decode(texts), strict=True):
         kept: list[tuple[int, int, str]] = []
+        mail = "@" in text or _AT_SIGN.search(text) is not None
         for start, end, kind in tagged:
-            if kind == "name" and (inside := exact_item(text, start, end, "email")) and inside[0] <= start and end <= inside[1]:
+            if kind == "name" and mail and (inside := exact_item(text, start, end, "email")) and inside[0] <= start and end <= inside[1]:
                 kind = "email"  # a name within an address is no item of its own
             if (span := exact_item(text, start, end, kind)) and (not kept or span[0] >= kept[-1][1]):
                 kept.append((*span, kind))
