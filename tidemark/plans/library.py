@@ -254,7 +254,7 @@ def table_rows(spark: SparkSession, d: str) -> DataFrame:
     return rows.join(forms.select("chunk_id", "form_number"), "chunk_id").groupBy("form_number").agg(F.count("*").alias("n"))
 
 
-@Q("word_counts", f"SELECT term, count(*) AS docs, sum(tf) AS n FROM (SELECT doc_id, term, count(*) AS tf FROM (SELECT doc_id, unnest({_TOK.format('text')}) AS term FROM documents) GROUP BY ALL) GROUP BY term")
+@Q("word_counts", f"SELECT term, count(*) AS docs, CAST(sum(tf) AS BIGINT) AS n FROM (SELECT doc_id, term, count(*) AS tf FROM (SELECT doc_id, unnest({_TOK.format('text')}) AS term FROM documents) GROUP BY ALL) GROUP BY term")
 def word_counts(spark: SparkSession, d: str) -> DataFrame:
     return retrieval.postings(table(spark, d, "documents"), "doc_id", "text").groupBy("term").agg(F.count("*").alias("docs"), F.sum("tf").alias("n"))
 
@@ -275,7 +275,7 @@ def redact_rules(spark: SparkSession, d: str) -> DataFrame:
     return demos(spark, d, "question").where("question IS NOT NULL").select("trace_id", tx.redact(F.col("question"), RULES).alias("question"))
 
 
-@Q("redaction_counts", "SELECT label, sum(n) AS n FROM (" + " UNION ALL ".join(
+@Q("redaction_counts", "SELECT label, CAST(sum(n) AS BIGINT) AS n FROM (" + " UNION ALL ".join(
     f"SELECT '{label}' AS label, len(regexp_extract_all({c}, '{pattern}')) AS n FROM {DEMO('question')}"
     for (label, pattern), c in zip(RULES, ("question", f"regexp_replace(question, '{RULES[0][1]}', '[CLAIM_ID]', 'g')", f"regexp_replace(regexp_replace(question, '{RULES[0][1]}', '[CLAIM_ID]', 'g'), '{RULES[1][1]}', '[EMAIL]', 'g')"))
 ) + ") WHERE n > 0 GROUP BY label")

@@ -138,7 +138,7 @@ def cost_outliers(spark: SparkSession, d: str) -> DataFrame:
     return iqr_outliers(races(spark, d, "arm", "cost_usd"), ["arm"], "cost_usd").select("run_id", "arm", "cost_usd", "side")
 
 
-_ARM = "count(*) AS n, count(*) FILTER (stop_reason IS NULL) AS passed, sum(prompt_tokens) AS prompt_tokens, sum(completion_tokens) AS completion_tokens, round(sum(cost_usd) FILTER (NOT isnan(cost_usd)), 6) AS cost, round(avg(cost_usd) FILTER (NOT isnan(cost_usd)), 8) AS mean_cost"
+_ARM = "count(*) AS n, count(*) FILTER (stop_reason IS NULL) AS passed, CAST(sum(prompt_tokens) AS BIGINT) AS prompt_tokens, CAST(sum(completion_tokens) AS BIGINT) AS completion_tokens, round(sum(cost_usd) FILTER (NOT isnan(cost_usd)), 6) AS cost, round(avg(cost_usd) FILTER (NOT isnan(cost_usd)), 8) AS mean_cost"
 
 
 @Q("arm_summary", f"SELECT arm, {_ARM} FROM {RACE('arm, stop_reason, prompt_tokens, completion_tokens, cost_usd')} GROUP BY arm")
@@ -146,7 +146,7 @@ def arm_summary(spark: SparkSession, d: str) -> DataFrame:
     return traces.arm_summary(races(spark, d, "arm", "stop_reason", "prompt_tokens", "completion_tokens", "cost_usd"), "arm", F.col("stop_reason").isNull())
 
 
-@Q("share_of_total", f"SELECT arm, total, round(total / sum(total) OVER (), 6) AS share, row_number() OVER (ORDER BY total DESC, arm) AS place FROM (SELECT arm, sum(tokens) AS total FROM {RACE('arm, tokens')} GROUP BY arm)")
+@Q("share_of_total", f"SELECT arm, total, round(total / sum(total) OVER (), 6) AS share, row_number() OVER (ORDER BY total DESC, arm) AS place FROM (SELECT arm, CAST(sum(tokens) AS BIGINT) AS total FROM {RACE('arm, tokens')} GROUP BY arm)")
 def share_of_total(spark: SparkSession, d: str) -> DataFrame:
     return rates.share_of_total(races(spark, d, "arm", "tokens"), "arm", "tokens").withColumn("place", F.col("place").cast("long"))
 
@@ -274,9 +274,9 @@ _LAPS = "unnest(range(1, coalesce(len(laps), 0) + 1)) AS i"
 
 @Q("trace_rollup", f"""
 WITH r AS {RACE('laps')}, f AS (SELECT run_id, list_filter(coalesce(laps, []), lambda x: x IS NOT NULL) AS l, coalesce(len(laps), 0) AS n_laps, laps FROM r)
-SELECT run_id, CAST(n_laps AS INTEGER) AS n_laps, coalesce(list_sum(list_transform(l, lambda x: x.prompt_tokens)), 0) AS lap_prompt, coalesce(list_sum(list_transform(l, lambda x: x.completion_tokens)), 0) AS lap_completion,
+SELECT run_id, CAST(n_laps AS INTEGER) AS n_laps, CAST(coalesce(list_sum(list_transform(l, lambda x: x.prompt_tokens)), 0) AS BIGINT) AS lap_prompt, CAST(coalesce(list_sum(list_transform(l, lambda x: x.completion_tokens)), 0) AS BIGINT) AS lap_completion,
   round(coalesce(list_sum(list_transform(l, lambda x: x.call_s)), 0), 6) AS active_s, round(coalesce(list_sum(list_transform(l, lambda x: x.wait_s)), 0), 6) AS waited_s,
-  coalesce(list_sum(list_transform(list_filter(laps[2:], lambda x: x IS NOT NULL), lambda x: x.prompt_tokens)), 0) AS sent_again,
+  CAST(coalesce(list_sum(list_transform(list_filter(laps[2:], lambda x: x IS NOT NULL), lambda x: x.prompt_tokens)), 0) AS BIGINT) AS sent_again,
   coalesce((SELECT string_agg(tool, ' ' ORDER BY k) FROM (SELECT tool, min(k) AS k FROM (SELECT t.tool AS tool, k FROM (SELECT unnest(ts) AS t, unnest(range(len(ts))) AS k FROM (SELECT flatten(list_transform(f.l, lambda x: coalesce(x.tools, []))) AS ts))) WHERE tool IS NOT NULL GROUP BY tool)), '') AS tool_order
 FROM f""")
 def trace_rollup(spark: SparkSession, d: str) -> DataFrame:
@@ -312,7 +312,7 @@ def critical_path(spark: SparkSession, d: str) -> DataFrame:
     return races(spark, d, "laps").select("run_id", F.round(F.greatest(at(0), at(1)) + rest, 6).alias("seconds"))
 
 
-@Q("capacity", "SELECT requests, tokens, minutes, round(tokens / nullif(minutes_raw, 0), 4) AS tokens_per_minute, round(tokens / 200000.0, 6) AS daily_ratio, round(200000.0 / tokens, 6) AS daily_breaks_at FROM (SELECT count(*) AS requests, sum(tokens) AS tokens, round(m, 4) AS minutes, m AS minutes_raw FROM (SELECT tokens, (max(epoch_us(t)) OVER () - min(epoch_us(t)) OVER ()) / 60e6 AS m FROM (SELECT CAST(ts AS TIMESTAMPTZ) AS t, tokens FROM " + EVAL("ts, tokens") + ")) GROUP BY m)")
+@Q("capacity", "SELECT requests, tokens, minutes, round(tokens / nullif(minutes_raw, 0), 4) AS tokens_per_minute, round(tokens / 200000.0, 6) AS daily_ratio, round(200000.0 / tokens, 6) AS daily_breaks_at FROM (SELECT count(*) AS requests, CAST(sum(tokens) AS BIGINT) AS tokens, round(m, 4) AS minutes, m AS minutes_raw FROM (SELECT tokens, (max(epoch_us(t)) OVER () - min(epoch_us(t)) OVER ()) / 60e6 AS m FROM (SELECT CAST(ts AS TIMESTAMPTZ) AS t, tokens FROM " + EVAL("ts, tokens") + ")) GROUP BY m)")
 def capacity(spark: SparkSession, d: str) -> DataFrame:
     return traces.capacity(evals(spark, d, "ts", "tokens"), F.col("ts").try_cast("timestamp"), "tokens", {"daily": 200_000.0})
 
@@ -364,7 +364,7 @@ def retry_after_error(spark: SparkSession, d: str) -> DataFrame:
 
 
 @Q("trajectory_summary", f"""
-SELECT count(*) AS n, round(avg(CAST(ok AS INT)), 6) AS outcome, round(avg(CAST(good AS INT)), 6) AS trajectory, sum(tokens) AS tokens, round(max(cost_usd), 8) AS max_cost FROM (
+SELECT count(*) AS n, round(avg(CAST(ok AS INT)), 6) AS outcome, round(avg(CAST(good AS INT)), 6) AS trajectory, CAST(sum(tokens) AS BIGINT) AS tokens, round(max(cost_usd), 8) AS max_cost FROM (
 SELECT claim_id, any_value(outcome_passed) AS ok, any_value(tokens) AS tokens, any_value(cost_usd) AS cost_usd FROM traj_before GROUP BY claim_id) JOIN (SELECT claim_id, regexp_full_match(array_to_string(path, ' '), '{_ACCEPT}') AS good FROM {_PATH}) USING (claim_id)""")
 def trajectory_summary(spark: SparkSession, d: str) -> DataFrame:
     rows = trajectories(spark, d, "outcome_passed", "tokens", "cost_usd", "tool_calls")

@@ -128,7 +128,7 @@ def tool_words(spark: SparkSession, d: str) -> DataFrame:
 # ---- star tables --------------------------------------------------------------------------
 
 
-@Q("order_totals", "SELECT o_orderpriority, count(*) AS orders, sum(n) AS lines, round(sum(net), 2) AS net FROM orders JOIN (SELECT l_orderkey, count(*) AS n, sum(l_extendedprice * (1 - l_discount)) AS net FROM lineitem GROUP BY l_orderkey) ON o_orderkey = l_orderkey GROUP BY o_orderpriority")
+@Q("order_totals", "SELECT o_orderpriority, count(*) AS orders, CAST(sum(n) AS BIGINT) AS lines, round(sum(net), 2) AS net FROM orders JOIN (SELECT l_orderkey, count(*) AS n, sum(l_extendedprice * (1 - l_discount)) AS net FROM lineitem GROUP BY l_orderkey) ON o_orderkey = l_orderkey GROUP BY o_orderpriority")
 def order_totals(spark: SparkSession, d: str) -> DataFrame:
     """Parents with rolled-up children: lines are reduced per order before the join."""
     lines = table(spark, d, "lineitem").groupBy("l_orderkey").agg(F.count("*").alias("n"), F.sum(F.col("l_extendedprice") * (1 - F.col("l_discount"))).alias("net"))
@@ -149,7 +149,7 @@ def pricing_summary(spark: SparkSession, d: str) -> DataFrame:
     return rows.groupBy("l_returnflag", "l_linestatus").agg(F.round(F.sum("l_quantity"), 2).alias("qty"), F.round(F.sum(F.col("l_extendedprice") * (1 - F.col("l_discount"))), 2).alias("net"), F.round(F.avg("l_discount"), 6).alias("discount"), F.count("*").alias("n"))
 
 
-@Q("json_props", "SELECT event_type, count(*) AS n, sum(CAST(json_extract(props, '$.k') AS BIGINT)) AS k FROM events GROUP BY event_type")
+@Q("json_props", "SELECT event_type, count(*) AS n, CAST(sum(CAST(json_extract(props, '$.k') AS BIGINT)) AS BIGINT) AS k FROM events GROUP BY event_type")
 def json_props(spark: SparkSession, d: str) -> DataFrame:
     k = F.from_json("props", "k bigint")["k"]
     return table(spark, d, "events").groupBy("event_type").agg(F.count("*").alias("n"), F.sum(k).alias("k"))
