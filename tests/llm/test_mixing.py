@@ -54,6 +54,51 @@ def test_a_smaller_total(spark):
     assert all(abs(t - 30_000) < 600 for t in got.values())
 
 
+def shares_of(spark, sizes, targets):
+    """What each source is off by of its target, and the report, of documents of the given sizes."""
+    rows = [(i, s, x) for i, (s, x) in enumerate((s, x) for s, xs in sizes.items() for x in xs)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, source string, tokens int")
+    report = {r["source"]: r for r in mixing.reached_shares(*mixing.mix_sources(docs, spark.createDataFrame(targets, TARGETS))).collect()}
+    return {s: report[s]["actual_share"] / w - 1 for s, w, _ in targets}, report
+
+
+def test_a_source_of_a_few_documents_has_its_share(spark):
+    few = {"big": [90, 110, 100, 120] * 300, "few": [400, 300, 250, 350, 200, 150]}
+    off, report = shares_of(spark, few, [("big", 0.995, 1), ("few", 0.005, 1)])
+    assert max(map(abs, off.values())) < 0.011 and report["big"]["tokens"] > 120_000
+
+
+def test_a_dominant_document_is_drawn_or_made_up_for(spark):
+    half = {"giant": [50_000] + [50] * 1000, "other": [100] * 800}
+    off, report = shares_of(spark, half, [("giant", 0.5, 1), ("other", 0.5, 1)])
+    assert max(map(abs, off.values())) < 0.011 and report["other"]["tokens"] > 79_000
+    many = {"giant": [500_000] + [100] * 5000, "other": [100] * 8000}  # more documents than a hand
+    off, report = shares_of(spark, many, [("giant", 0.5, 1), ("other", 0.5, 1)])
+    assert max(map(abs, off.values())) < 0.011 and report["other"]["tokens"] > 790_000
+
+
+def test_a_total_that_cannot_be_had_shrinks(spark):
+    """Whole repeats of one document: 1.6 of them cannot be had, one can, for the other half its part."""
+    off, report = shares_of(spark, {"one": [1000], "other": [10] * 160}, [("one", 0.5, 2), ("other", 0.5, 1)])
+    assert max(map(abs, off.values())) < 0.011 and report["one"]["tokens"] == 1000 and 990 <= report["other"]["tokens"] <= 1010
+    gap = {"giant": [900_000] + [20] * 5000, "other": [100] * 5000}  # 0.5 of it is neither with nor without the giant
+    off, report = shares_of(spark, gap, [("giant", 0.5, 1), ("other", 0.5, 1)])
+    assert max(map(abs, off.values())) < 0.011 and report["giant"]["tokens"] > 99_000
+
+
+def test_a_share_worth_few_documents_of_many(spark):
+    sizes = {"big": [100] * 3000, "many": [300 + i % 301 for i in range(5000)]}
+    off, _ = shares_of(spark, sizes, [("big", 0.995, 1), ("many", 0.005, 1)])
+    assert max(map(abs, off.values())) < 0.011
+
+
+def test_a_hand_keeps_the_chance_on_average():
+    hand = mixing.Hand([40 + 7 * i % 113 for i in range(40)], 0)
+    drawn = np.array([hand.draw(0.4, random.Random(i)) for i in range(600)])
+    assert np.abs(drawn @ hand.size / (0.4 * hand.size.sum()) - 1).max() <= 0.005
+    assert np.abs(drawn.mean(axis=0) - 0.4).max() < 0.15  # landing shifts it a little
+
+
 def test_odd_tables(spark):
     targets = spark.createDataFrame([("a", 1.0, 2), (None, 0.5, 1), ("b", None, 1), ("c", 0.2, None)], TARGETS)
     docs = spark.createDataFrame([(1, "a", 5), (2, None, 5), (3, "b", 5), (4, "a", 0)], "doc_id bigint, source string, tokens int")
