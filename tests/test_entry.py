@@ -34,3 +34,14 @@ def test_entry_and_a_few_queries_against_their_oracles(spark):
     assert e.entry(spark).count() > 0
     for name in ("p1_found", "p3_found", "p4_found", "p6_found", "kappa", "chunk_pack", "range_join"):
         assert spark_rows(e.queries()[name](spark, DATA)) == oracle_rows(DATA, e.oracle_sql()[name]), name
+
+
+def test_json_lines_hold_every_document(spark, tmp_path):
+    import __spark_entry__ as e
+    from tools.compare import oracle_rows, spark_rows
+
+    rows = [(1, "one line"), (2, "a\nb\r\nc\rd"), (3, ""), (4, None), (5, "\n"), (6, '"\\\t\u2028é\x00'), (7, "x\n" * 50_000)]
+    spark.createDataFrame(rows, "doc_id bigint, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r["doc_id"]: r["text"] for r in e.queries()["json_lines_whole"](spark, str(tmp_path)).collect()}
+    assert got == {i: t for i, t in rows if t is not None}
+    assert spark_rows(e.queries()["json_lines_whole"](spark, DATA)) == oracle_rows(DATA, e.oracle_sql()["json_lines_whole"])

@@ -82,6 +82,14 @@ def json_lines_folder(spark: SparkSession, d: str) -> DataFrame:
     return files.json_lines(spark, out, "doc_id bigint, text string", strict=True)
 
 
+@Q("json_lines_whole", "SELECT doc_id, text FROM documents WHERE text IS NOT NULL")
+def json_lines_whole(spark: SparkSession, d: str) -> DataFrame:
+    """All documents through JSON lines and back, those with line ends and empty ones too."""
+    out = fresh_folder(spark, "docs")
+    table(spark, d, "documents").where("text IS NOT NULL").select("doc_id", "text").write.json(out)
+    return files.json_lines(spark, out, "doc_id bigint, text string", strict=True)
+
+
 # ---- tools and checks ---------------------------------------------------------------------
 
 
