@@ -45,3 +45,14 @@ def test_json_lines_hold_every_document(spark, tmp_path):
     got = {r["doc_id"]: r["text"] for r in e.queries()["json_lines_whole"](spark, str(tmp_path)).collect()}
     assert got == {i: t for i, t in rows if t is not None}
     assert spark_rows(e.queries()["json_lines_whole"](spark, DATA)) == oracle_rows(DATA, e.oracle_sql()["json_lines_whole"])
+
+
+def test_clause_sections_of_every_document(spark, tmp_path):
+    import __spark_entry__ as e
+    from tools.compare import oracle_rows, spark_rows
+
+    rows = [(1, "no clause here"), (2, "Head\nCLAUSE 1 a\nCLAUSE 2 b"), (3, ""), (4, None), (5, "clause 1 in lower case\nclause 2")]
+    spark.createDataFrame(rows, "doc_id bigint, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r["doc_id"]: r["sections"] for r in e.queries()["clause_sections_all"](spark, str(tmp_path)).collect()}
+    assert got == {1: 1, 2: 3, 3: 0, 5: 1}
+    assert spark_rows(e.queries()["clause_sections_all"](spark, DATA)) == oracle_rows(DATA, e.oracle_sql()["clause_sections_all"])

@@ -246,6 +246,15 @@ def clause_sections(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents").where(F.col("text").contains("CLAUSE")).select("doc_id", F.size(parts).alias("sections"), F.md5(F.array_join(parts, "\x1f")).alias("content"))
 
 
+@Q("clause_sections_all", f"""
+WITH s AS (SELECT doc_id, list_filter(list_transform(string_split(regexp_replace(text, '(?m)^(CLAUSE\\s+\\d)', chr(31) || '\\1', 'g'), chr(31)), lambda x: {_TRIM.format('x')}), lambda x: x != '') AS parts FROM (SELECT doc_id, replace(text, chr(31), '') AS text FROM documents WHERE text IS NOT NULL))
+SELECT doc_id, CAST(len(parts) AS INTEGER) AS sections, md5(array_to_string(parts, chr(31))) AS content FROM s""")
+def clause_sections_all(spark: SparkSession, d: str) -> DataFrame:
+    """Sections of every document: one where no clause starts, none in a blank one."""
+    parts = chunking.clause_sections(F.regexp_replace("text", "\x1f", ""))
+    return table(spark, d, "documents").where("text IS NOT NULL").select("doc_id", F.size(parts).alias("sections"), F.md5(F.array_join(parts, "\x1f")).alias("content"))
+
+
 @Q("table_rows", f"SELECT form_number, count(*) AS n FROM (SELECT form_number, unnest(string_split(text, chr(10))) AS line FROM {CHUNKS}) WHERE regexp_matches(line, '^[ \\t]*\\|[ \\t]*E-\\d') GROUP BY form_number")
 def table_rows(spark: SparkSession, d: str) -> DataFrame:
     """Chunks of the structural splitter that are rows of an exclusion table, by form."""
