@@ -8,6 +8,7 @@ import re
 import zlib
 from collections import defaultdict
 from collections.abc import Iterator, Mapping, Sequence
+from functools import lru_cache
 from itertools import islice
 from pathlib import Path
 
@@ -25,9 +26,18 @@ def _hash(text: str) -> int:
     return zlib.crc32(text.encode("utf-8", "replace"))
 
 
+_CLASS = {i: "d" if chr(i).isdigit() else "X" if chr(i).isupper() else "x" if chr(i).isalpha() else chr(i) for i in range(0x250)}
+_LONG, _RUNS = re.compile(r"(X|x)\1{3,}"), re.compile(r"(X|x)\1+")
+
+
+def classes(text: str) -> str:
+    """Digits as d, capitals as X, other letters as x, all else as it is."""
+    plain = text.translate(_CLASS)
+    return plain if plain.isascii() else "".join("d" if c.isdigit() else "X" if c.isupper() else "x" if c.isalpha() else c for c in text)
+
+
 def shape(word: str) -> str:
-    long = "".join("d" if c.isdigit() else "X" if c.isupper() else "x" if c.isalpha() else c for c in word[:24])
-    return re.sub(r"(X|x)\1{3,}", r"\1\1\1+", long)
+    return _LONG.sub(r"\1\1\1+", classes(word[:24]))
 
 
 def read_lexicon(files: Sequence[str]) -> dict[str, str]:
@@ -43,18 +53,23 @@ def read_lexicon(files: Sequence[str]) -> dict[str, str]:
     return {w: f"{a}{b}" for w, (a, b) in marks.items()}
 
 
+@lru_cache(maxsize=50_000)
+def _form_features(form: str, known: str, alpha: bool, case: str, size: int) -> tuple[int, ...]:
+    feats = [f"s={form}", f"c={re.sub(r'(.)\1+', r'\1', form)}", f"n={min(size, 12)}"]
+    if alpha:
+        feats += [f"t={case}", f"k={known}", f"kt={known}{case}"]
+    return tuple(_hash(f) % WORDS for f in feats)
+
+
 def word_features(word: str, lexicon: Mapping[str, str], known_only: bool = False) -> np.ndarray:
     """Hashed features of a word; ``known_only`` leaves out those of its letters."""
-    low, form = word.lower(), shape(word)
-    feats = [f"s={form}", f"c={re.sub(r'(.)\1+', r'\1', form)}", f"n={min(len(word), 12)}"]
-    if word[0].isalpha():
-        case, known = f"{word.istitle()}{word.isupper()}{word.islower()}", lexicon.get(low, "33")
-        feats += [f"t={case}", f"k={known}", f"kt={known}{case}"]
-        if not known_only:
-            feats += [f"p{k}={low[:k]}" for k in (2, 3, 4)] + [f"e{k}={low[-k:]}" for k in (2, 3, 4, 5)]
-    if not known_only:
-        feats.append(f"w={low}")
-    return np.array([_hash(f) % WORDS for f in feats])
+    low, alpha = word.lower(), word[0].isalpha()
+    case = "U" if word.isupper() else "l" if word.islower() else "T" if word.istitle() else "m"
+    feats = _form_features(shape(word), lexicon.get(low, "33"), alpha, case, min(len(word), 12))
+    if known_only:
+        return np.array(feats)
+    parts = (f"w={low}", f"2{low[:2]}", f"3{low[:3]}", f"4{low[:4]}", f"e{low[-2:]}", f"f{low[-3:]}", f"g{low[-4:]}", f"h{low[-5:]}") if alpha else (f"w={low}",)
+    return np.array(feats + tuple(zlib.crc32(p.encode("utf-8", "replace")) % WORDS for p in parts))
 
 
 _MARKS = re.compile(r"^[\"'“”‘’«»]+|[\"'“”‘’«»,;:!?.]+$")
@@ -62,8 +77,7 @@ _MARKS = re.compile(r"^[\"'“”‘’«»]+|[\"'“”‘’«»,;:!?.]+$")
 
 def chunk_shape(chunk: str) -> int:
     """A stretch between blanks: its letters as runs, every digit and mark."""
-    form = "".join("d" if c.isdigit() else "X" if c.isupper() else "x" if c.isalpha() else c for c in _MARKS.sub("", chunk)[:40])
-    return _hash(re.sub(r"(X|x)\1+", r"\1", form)) % 1_000_003
+    return _hash(_RUNS.sub(r"\1", classes(_MARKS.sub("", chunk)[:40]))) % 1_000_003
 
 
 def _pair(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -165,19 +179,19 @@ class Crf:
         return np.where(self.allowed, self.step, _BAD)
 
     def word_scores(self, words: Words, which: Sequence[int]) -> np.ndarray:
-        """(word, offset, label) scores of words, each scored once."""
+        """(offset, word, label) scores of words, each scored once."""
         feats = [words.features[i] for i in which]
         flat, sizes = np.concatenate(feats), np.array([len(f) for f in feats])
-        return np.stack([np.add.reduceat(self.word[o][flat], np.cumsum(sizes) - sizes, axis=0) for o in range(2 * REACH + 1)], 1)
+        return np.stack([np.add.reduceat(self.word[o][flat], np.cumsum(sizes) - sizes, axis=0) for o in range(2 * REACH + 1)])
 
     def emissions(self, run: Run, at: np.ndarray, table: np.ndarray) -> np.ndarray:
         """Label scores of places of the run."""
-        total = table[run.ids[at], REACH]
+        total = table[REACH].take(run.ids[at], axis=0)
         for o in range(-REACH, REACH + 1):
             if o:
-                total += table[run.ids[at + o], o + REACH]
+                total += table[o + REACH].take(run.ids[at + o], axis=0)
         for k, p in enumerate(run.pairs(at)):
-            total += self.pair[k][p]
+            total += self.pair[k].take(p, axis=0)
         total[:, 0] -= self.lean
         return total
 
@@ -188,7 +202,7 @@ class Crf:
         found, held, size, first = [], [], 0, 0
         for i, text in enumerate(texts):
             if not held and (self._met is None or len(self._met[0].features) > 60_000 or len(self._met[0].chunks) > 200_000):
-                self._met = Words(self.lexicon), np.zeros((0, 2 * REACH + 1, len(self.labels)), np.float32)
+                self._met = Words(self.lexicon), np.zeros((2 * REACH + 1, 0, len(self.labels)), np.float32)
             held.append(self._met[0].read(text))
             size += len(held[-1][0])
             if size >= tokens or i == len(texts) - 1:
@@ -200,8 +214,8 @@ class Crf:
         """The run of texts, with the scores of all words met so far in this process."""
         words, table = self._met
         run = Run(held, words)
-        if len(table) < len(words.features):
-            table = np.concatenate((table, self.word_scores(words, range(len(table), len(words.features)))))
+        if table.shape[1] < len(words.features):
+            table = np.concatenate((table, self.word_scores(words, range(table.shape[1], len(words.features)))), 1)
         self._met = words, table
         return run, table
 
@@ -212,11 +226,7 @@ class Crf:
         by it, with the most its transitions can add, is above zero; places that no such
         span holds are O on the best path and need no Viterbi.
         """
-        blank = np.ones(len(run.ids), bool)
-        ends = np.cumsum(run.sizes + REACH) + REACH
-        for a, z in zip(run.starts, ends - REACH, strict=True):
-            blank[a:z] = False
-        inner = np.flatnonzero(~blank)
+        inner = np.flatnonzero(run.ids)
         gain = np.full(len(run.ids), -1e6)
         for lo in range(0, len(inner), piece):
             e = self.emissions(run, inner[lo : lo + piece], table)
@@ -231,7 +241,7 @@ class Crf:
         upto = total - np.minimum.accumulate(np.concatenate(([0.0], total[:-1])))  # the best span that ends here
         ahead = np.cumsum(w[::-1])
         since = (ahead - np.minimum.accumulate(np.concatenate(([0.0], ahead[:-1]))))[::-1]  # the best span that begins here
-        return (upto + since - w + enter + leave - more > -1e-3) & ~blank
+        return (upto + since - w + enter + leave - more > -1e-3) & (run.ids > 0)
 
     def _decode(self, texts: Sequence[str], held: Sequence[tuple[list[int], list[int]]]) -> list[list[Item]]:
         found: list[list[Item]] = [[] for _ in texts]
@@ -333,8 +343,8 @@ class Crf:
         there = step < run.sizes[which][:, None]
         at = np.where(there, run.starts[which][:, None] + step, REACH)
         used, local = np.unique(run.ids, return_inverse=True)
-        table = np.zeros((int(used[-1]) + 1, 2 * REACH + 1, len(self.labels)), np.float32)
-        table[used] = self.word_scores(run.words, used)
+        table = np.zeros((2 * REACH + 1, int(used[-1]) + 1, len(self.labels)), np.float32)
+        table[:, used] = self.word_scores(run.words, used)
         inner = np.arange(REACH, len(run.ids) - REACH)
         emitted = np.zeros((len(run.ids), len(self.labels)), np.float32)
         emitted[inner] = self.emissions(run, inner, table)
