@@ -125,9 +125,9 @@ def p8_shares(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _areas(spark: SparkSession, d: str) -> DataFrame:
-    documents = table(spark, d, "documents").select("doc_id", "text")
-    model = train_from_tables(documents, table(spark, d, "subject_labels"), table(spark, d, "subjects"))
-    return subject_areas(documents, model)
+    documents = table(spark, d, "documents").select("doc_id", "text", "source", "form_number")
+    model = train_from_tables(documents, table(spark, d, "subject_labels"), table(spark, d, "subjects"), ["source", "form_number"])
+    return subject_areas(documents.select("doc_id", "text"), model)
 
 
 @REGISTRY.add("p9_found")
