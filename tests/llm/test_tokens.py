@@ -39,9 +39,29 @@ def test_round_trip(spark, docs, ranks):
     assert {r["doc_id"]: r["text"] for r in back.collect()} == {i: t or "" for i, t in enumerate(TEXTS)}
 
 
-def test_words_join_to_the_text(docs):
-    for r in tokens.with_words(docs).select("text", "words").collect():
-        assert "".join(r["words"]) == (r["text"] or "")
+def test_chunks_join_to_the_text_and_hold_its_words():
+    import random
+
+    import regex
+
+    words: list[list[str]] = []
+    chunks, r = tokens.Chunks(words.append), random.Random(3)
+    made = ["".join(r.choice(" \n\t\u00a0\x1ca'b1.,s\r\u3000é漢") for _ in range(r.randint(0, 30))) for _ in range(3000)]
+    for text in [t or "" for t in TEXTS] + made:
+        found = [w for c in chunks.read(text) for w in words[c]]
+        assert found == regex.findall(tokens.PYTHON_WORDS, text)
+
+
+def test_long_and_frequent_words(spark, ranks):
+    ruler, wide = "-" * 80, "=" * 5000
+    rows = [(i, f"{ruler}\nline {i} {wide} end{' ' * 50}") for i in range(60)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)
+    counts = {r["word"]: r["n"] for r in tokens.word_counts(df, "text", kept=5).collect()}
+    assert counts[ruler] == 60 and wide not in counts and " " + wide not in counts and counts[" end"] == 60
+    whole = tokens._encoding(ranks)
+    for known in (65_536, 2):
+        got = {r["doc_id"]: list(r["ids"]) for r in tokens.encode_corpus(df, "doc_id", "text", ranks, known).collect()}
+        assert got == {i: whole.encode_ordinary(t) for i, t in rows}
 
 
 def test_counts(docs, ranks, truth):

@@ -3,24 +3,25 @@
 from __future__ import annotations
 
 import base64
-from collections.abc import Iterator
+from collections import defaultdict
+from collections.abc import Callable, Iterator, Mapping, Sequence
+from functools import lru_cache
 from pathlib import Path
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.session import cut
 
 VOCABULARIES = "/opt/tokenizers"
 
-#: The public pre-tokenizer pattern of byte-level BPE, with Unicode white space.
-_WS = r"\p{IsWhite_Space}"
-WORDS = rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{_WS}\p{{L}}\p{{N}}]+|{_WS}+(?!{_WS.replace('p{', 'P{', 1)})|{_WS}+"
+#: The public pre-tokenizer pattern of byte-level BPE.
 PYTHON_WORDS = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}++| ?\p{N}++| ?[^\s\p{L}\p{N}]++|\s++$|\s+(?!\S)|\s"
+#: Words longer than this are encoded where they stand: no table holds them, none is a key.
+LONG = 1024
 
 
 def read_ranks(folder: str = VOCABULARIES, name: str = "byte_bpe_50k") -> bytes:
@@ -28,6 +29,7 @@ def read_ranks(folder: str = VOCABULARIES, name: str = "byte_bpe_50k") -> bytes:
     return Path(folder, f"{name}.tiktoken").read_bytes()
 
 
+@lru_cache(maxsize=2)
 def _encoding(ranks: bytes):
     import tiktoken
 
@@ -35,39 +37,117 @@ def _encoding(ranks: bytes):
     return tiktoken.Encoding("words", pat_str=PYTHON_WORDS, mergeable_ranks=table, special_tokens={})
 
 
-def split_words(text: Column) -> Column:
-    """The words of a text in order; joined they are the text again.
+class Chunks:
+    """Texts cut where a single blank stands between two other characters.
 
-    The split runs in the JVM.  Code points that its Unicode tables do not know yet
-    cannot be classed there: :func:`with_words` splits the few texts that hold one in Python.
+    No word of the pre-tokenizer spans such a place, and none depends on what is beyond it,
+    so the words of a chunk are the same wherever it stands and are looked for once a process.
+    ``add`` is told of every new chunk's words, in order of the chunks' numbers.
     """
-    return F.regexp_extract_all(text, F.lit(WORDS), F.lit(0))
 
-
-def with_words(df: DataFrame, text: str = "text", out: str = "words") -> DataFrame:
-    @F.pandas_udf("array<string>")
-    def by_regex(texts: pd.Series) -> pd.Series:
+    def __init__(self, add: Callable[[list[str]], None]):
         import regex
 
-        pattern = regex.compile(PYTHON_WORDS)
-        return texts.map(lambda t: None if t is None else pattern.findall(t))
+        self.find, self.add = regex.compile(PYTHON_WORDS).findall, add
+        self.whole: dict[str, int] = {}
+        self.behind: dict[str, int] = {}  # chunks by what follows their leading blank; -1 where the cut is not sure
+        self.n = 0
+
+    def _new(self, chunk: str) -> int:
+        if (at := self.whole.get(chunk)) is None:
+            at = self.whole[chunk] = self.n
+            self.n += 1
+            self.add(self.find(chunk))
+        return at
+
+    def read(self, text: str) -> list[int]:
+        """The numbers of a text's chunks in order; joined they are the text again."""
+        parts = text.split(" ")
+        ids, unsure = [0], not parts[0] or parts[0][-1].isspace()
+        for part in parts[1:] if not unsure else ():
+            if (at := self.behind.get(part)) is None:
+                at = -1 if not part or part[0].isspace() or part[-1].isspace() else self._new(" " + part)
+                self.behind[part] = at
+            if at < 0:
+                unsure = True
+                break
+            ids.append(at)
+        if unsure:
+            return [self._new(c) for c in self._joined(parts)]
+        ids[0] = self._new(parts[0])
+        return ids
+
+    @staticmethod
+    def _joined(parts: list[str]) -> Iterator[str]:
+        held = [parts[0]]
+        for part in parts[1:]:
+            last = held[-1][-1:]
+            if part and not part[0].isspace() and last and not last.isspace():
+                yield "".join(held)
+                held = [" " + part]
+            else:
+                held.append(" " + part)
+        if whole := "".join(held):
+            yield whole
+
+
+def _slices(texts: list[str | None], chars: int = 4_000_000) -> Iterator[tuple[int, int]]:
+    """Runs of texts of about ``chars`` characters, so that a batch of long ones fits."""
+    lo = size = 0
+    for i, t in enumerate(texts):
+        size += len(t or "")
+        if size >= chars or i == len(texts) - 1:
+            yield lo, i + 1
+            lo, size = i + 1, 0
+
+
+def word_counts(texts: DataFrame, text: str, kept: int = 300_000) -> DataFrame:
+    """``(word, n)``: the distinct words of up to ``LONG`` characters with their counts.
+
+    Each task counts its chunks and gives out words with their sums, whenever it holds
+    ``kept`` chunks and at its end; these are summed with partial aggregation.
+    """
 
-    t = F.coalesce(F.col(text), F.lit(""))
-    unknown = t.rlike(r"\p{Cn}")
-    return df.withColumn(out, F.when(unknown, by_regex(F.when(unknown, t))).otherwise(split_words(t)))
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words: list[list[str]] = []
+        chunks, total = Chunks(words.append), np.zeros(0, np.int64)
 
+        def drained() -> pa.RecordBatch:
+            sums: defaultdict[str, int] = defaultdict(int)
+            for found, n in zip(words, total.tolist(), strict=True):
+                for w in found:
+                    sums[w] += n
+            short = [(w, n) for w, n in sums.items() if len(w) <= LONG]
+            return pa.RecordBatch.from_arrays([pa.array([w for w, _ in short], pa.string()), pa.array([n for _, n in short], pa.int64())], ["word", "n"])
 
-def word_table(words: DataFrame, ranks: bytes) -> DataFrame:
+        for b in batches:
+            column = b.column(0).to_pylist()
+            for lo, hi in _slices(column):
+                flat: list[int] = []
+                for t in column[lo:hi]:
+                    if t:
+                        flat += chunks.read(t)
+                total = np.concatenate((total, np.zeros(chunks.n - len(total), np.int64)))
+                total += np.bincount(np.array(flat, np.int64), minlength=chunks.n)
+                if chunks.n > kept:
+                    yield drained()
+                    words = []
+                    chunks, total = Chunks(words.append), np.zeros(0, np.int64)
+        if chunks.n:
+            yield drained()
+
+    return texts.select(text).mapInArrow(count, "word string, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
+
+
+def word_table(counts: DataFrame, ranks: bytes) -> DataFrame:
     """``(word, n, ids)``: every distinct word with its count, encoded once."""
-    spark = words.sparkSession
-    shared = spark.sparkContext.broadcast(ranks)
+    shared = counts.sparkSession.sparkContext.broadcast(ranks)
 
     def encode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         encoding = _encoding(shared.value)
         for b in batches:
             yield b.assign(ids=[encoding.encode_ordinary(w) for w in b["word"]])
 
-    counts = words.groupBy("word").agg(F.count("*").alias("n"))
     return counts.mapInPandas(encode, "word string, n bigint, ids array<int>")
 
 
@@ -81,29 +161,46 @@ def _lists(values: np.ndarray, sizes: np.ndarray) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(offsets), values if isinstance(values, pa.Array) else pa.array(values.astype(np.int32)))
 
 
-class KnownWords:
-    """Frequent words and their ids, for lookup of whole Arrow batches."""
-
-    def __init__(self, words: list[str], ids: list[list[int]]):
-        self.words = words
-        self.sizes = np.array([len(x) for x in ids] + [1], np.int64)
-        self.starts = np.cumsum(self.sizes) - self.sizes
-        self.flat = np.array([i for x in ids for i in x] + [0], np.int64)
-
-    def encode(self, lists: pa.ListArray) -> tuple[pa.Array, pa.Array]:
-        """Ids of each text's words, and the words not known here, in order; the k-th of
-        these stands in the ids as ``-1 - k``."""
-        flat, sizes = lists.flatten(), lists.value_lengths().to_numpy().astype(np.int64)
-        at = pc.index_in(flat, value_set=pa.array(self.words, flat.type)).fill_null(len(self.words)).to_numpy()
-        rare = at == len(self.words)
-        text = np.repeat(np.arange(len(sizes)), sizes)
+class Placer:
+    """Puts the ids of known words where the text is; the k-th other word of a text stands as ``-1 - k``."""
+
+    def __init__(self, known: Mapping[str, Sequence[int]], encode: Callable[[str], list[int]]):
+        self.known, self.encode_word = known, encode
+        self.restart()
+
+    def restart(self) -> None:
+        self.chunks = Chunks(self._add)
+        self.new: list[list[int]] = []
+        self.rare: dict[str, int] = {}
+        self.starts, self.sizes, self.flat = (np.zeros(0, np.int64) for _ in range(3))
+
+    def _add(self, words: list[str]) -> None:
+        ids: list[int] = []
+        for w in words:
+            found = self.known.get(w)
+            if found is None:
+                found = self.encode_word(w) if len(w) > LONG else (-1 - self.rare.setdefault(w, len(self.rare)),)
+            ids += found
+        self.new.append(ids)
+
+    def encode(self, texts: list[str | None], kept: int = 300_000) -> tuple[pa.Array, pa.Array]:
+        """Ids of each text's words, and the words not known here, in order."""
+        if self.chunks.n > kept:
+            self.restart()
+        read = [self.chunks.read(t) if t else [] for t in texts]
+        sizes = np.array([len(x) for x in self.new], np.int64)
+        self.starts = np.concatenate((self.starts, len(self.flat) + np.cumsum(sizes) - sizes))
+        self.sizes, self.flat = np.concatenate((self.sizes, sizes)), np.concatenate((self.flat, np.array([i for x in self.new for i in x], np.int64)))
+        self.new = []
+        at = np.array([i for x in read for i in x], np.int64)
+        text = np.repeat(np.arange(len(texts)), [len(x) for x in read])
         lens = self.sizes[at]
-        ids = self.flat[_spread(self.starts[at], lens)]
-        rare_per_text = np.bincount(text[rare], minlength=len(sizes))
-        nth = np.arange(rare.sum()) - np.repeat(np.cumsum(rare_per_text) - rare_per_text, rare_per_text)
-        ids[(np.cumsum(lens) - lens)[rare]] = -1 - nth
-        ids_per_text = np.bincount(text, lens, len(sizes)).astype(np.int64)
-        return _lists(ids, ids_per_text), _lists(flat.filter(pa.array(rare)), rare_per_text)
+        ids, text = self.flat[_spread(self.starts[at], lens)], np.repeat(text, lens)
+        hole = ids < 0
+        words = pa.array(list(self.rare), pa.string()).take(pa.array(-1 - ids[hole]))
+        per_text = np.bincount(text[hole], minlength=len(texts))
+        ids[hole] = -1 - (np.arange(hole.sum()) - np.repeat(np.cumsum(per_text) - per_text, per_text))
+        return _lists(ids, np.bincount(text, minlength=len(texts))), _lists(words, per_text)
 
 
 def _fill(ids: pa.ListArray, rare: pa.ListArray) -> pa.Array:
@@ -117,6 +214,9 @@ def _fill(ids: pa.ListArray, rare: pa.ListArray) -> pa.Array:
     return _lists(out, np.bincount(np.repeat(np.arange(len(sizes)), sizes), out_lens, len(sizes)).astype(np.int64))
 
 
+_KNOWN_BYTES = 16_000_000
+
+
 def encode_corpus(df: DataFrame, key: str, text: str, ranks: bytes, known: int = 65_536) -> DataFrame:
     """``(key, ids)``: the ids of every text, as the tokenizer gives for the whole text.
 
@@ -124,31 +224,44 @@ def encode_corpus(df: DataFrame, key: str, text: str, ranks: bytes, known: int =
     once; keys must be distinct and not null.  Marks such as ``<|endoftext|>`` are plain text,
     whole texts of any length are encoded, other columns are ignored.
 
-    Plan: words are split in the JVM and counted with partial aggregation; each distinct word
-    is encoded once and the table kept.  Its ``known`` most frequent short words (their number
-    is off by a ten-thousandth of the table at most: some 2 MB) are broadcast and put in place by position where the text is; only the
-    remaining words, none of which can be frequent, travel to the table and back.
+    Plan: tasks split and count their words, the counts are summed with partial aggregation,
+    each distinct word is encoded once and the table kept.  Its most frequent words, up to
+    ``known`` of them and ``_KNOWN_BYTES``, are broadcast and put in place by position where
+    the text is; only the other words travel to the table and back.  None of these is a hot
+    key: a word left out for its count has at most a ``known``-th of all, one left out for
+    the bytes less than a ``_KNOWN_BYTES``-th of the text's characters.
     """
     spark = df.sparkSession
-    split = with_words(df.select(F.col(key).alias("_key"), F.col(text).alias("_text")), "_text").select("_key", "words")
-    table = cut(word_table(split.select(F.explode("words").alias("word")), ranks))
-    short = table.where(F.length("word") <= 32)
-    size = short.count()
-    least = short.agg(F.percentile_approx("n", 1 - known / size, 10_000)).first()[0] if size > known else 0
-    top = short.where(F.col("n") > least).select("word", "ids").collect()
-    frequent = spark.sparkContext.broadcast(KnownWords([r[0] for r in top], [list(r[1]) for r in top]))
+    texts = df.select(F.col(key).alias("_key"), F.col(text).alias("_text"))
+    table = cut(word_table(word_counts(texts, "_text"), ranks))
+    size = table.count()
+    # counts in steps of a sixteenth of a doubling, from the most frequent on, as long as words and bytes last
+    step = F.floor(F.log2("n") * 16).cast("int").alias("step")
+    bins = table.groupBy(step).agg(F.count("*").alias("words"), F.sum(F.octet_length("word") + 4 * F.size("ids")).alias("bytes")).collect() if size > known else []
+    least, words, taken = -1, 0, 0
+    for b in sorted(bins, reverse=True):
+        words, taken = words + b["words"], taken + b["bytes"]
+        if words > known or taken > _KNOWN_BYTES:
+            least = b["step"] + 1
+            break
+    top = table.where(step >= least).select("word", "ids").collect()
+    frequent = spark.sparkContext.broadcast(({r[0]: list(r[1]) for r in top}, ranks))
     kind = df.schema[key].dataType.simpleString()
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words, data = frequent.value
+        placer = Placer(words, lambda w: _encoding(data).encode_ordinary(w))
         for b in batches:
-            ids, rare = frequent.value.encode(b.column(1))
-            yield pa.RecordBatch.from_arrays([b.column(0), ids, rare], ["_key", "ids", "rare"])
+            column = b.column(1).to_pylist()
+            for lo, hi in _slices(column):
+                ids, rare = placer.encode(column[lo:hi])
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(lo, hi - lo), ids, rare], ["_key", "ids", "rare"])
 
     def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             yield pa.RecordBatch.from_arrays([b.column(0), _fill(b.column(1), b.column(2))], ["_key", "ids"])
 
-    placed = split.mapInArrow(place, f"_key {kind}, ids array<int>, rare array<string>")
+    placed = texts.mapInArrow(place, f"_key {kind}, ids array<int>, rare array<string>")
     rows = placed.select("_key", "ids", F.posexplode_outer("rare").alias("k", "word"))
     # the ids travel with a text's first rare word; texts without one have a word of their own, that no table has
     rows = rows.select("_key", "k", F.when(F.coalesce("k", F.lit(0)) == 0, F.col("ids")).alias("ids"), F.coalesce("word", F.concat(F.lit("\0"), F.col("_key").cast("string"))).alias("word"))
@@ -175,15 +288,21 @@ def decode_corpus(encoded: DataFrame, key: str, vocabulary: DataFrame) -> DataFr
 def with_token_counts(df: DataFrame, text: str, ranks: bytes, out: str = "tokens") -> DataFrame:
     """``df`` with the number of ids of each text, 0 for null and empty ones; map-only.
 
-    Each task remembers the counts of short words it has met (a bounded memory), so most of a
-    text is looked up.
+    Each task remembers the counts of the chunks between blanks that it has met (a bounded
+    memory): a text's number is the sum of theirs.
     """
     shared = df.sparkSession.sparkContext.broadcast(ranks)
 
     @F.pandas_udf("int")
     def count(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         encoding = _encoding(shared.value)
+        sizes: list[int] = []
+        add = lambda words: sizes.append(sum(len(encoding.encode_ordinary(w)) for w in words))
+        chunks = Chunks(add)
         for texts in batches:
-            yield texts.map(lambda t: len(encoding.encode_ordinary(t)) if t else 0).astype("int32")
+            if chunks.n > 300_000:
+                sizes.clear()
+                chunks = Chunks(add)
+            yield pd.Series([sum(map(sizes.__getitem__, chunks.read(t))) if t else 0 for t in texts], dtype="int32")
 
     return df.withColumn(out, count(F.coalesce(F.col(text), F.lit(""))))
