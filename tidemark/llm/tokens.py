@@ -45,18 +45,24 @@ class Chunks:
     ``add`` is told of every new chunk's words, in order of the chunks' numbers.
     """
 
-    def __init__(self, add: Callable[[list[str]], None]):
+    def __init__(self, add: Callable[[list[str]], None], kept: int = 300_000):
         import regex
 
         self.find, self.add = regex.compile(PYTHON_WORDS).findall, add
         self.whole: dict[str, int] = {}
         self.behind: dict[str, int] = {}  # chunks by what follows their leading blank; -1 where the cut is not sure
-        self.n = 0
+        self.n = self.held = 0
+        self.kept = kept
+
+    @property
+    def full(self) -> bool:
+        """Whether there are so many chunks, or so long ones, that it is time to begin anew."""
+        return self.n > self.kept or self.held > 64_000_000
 
     def _new(self, chunk: str) -> int:
         if (at := self.whole.get(chunk)) is None:
             at = self.whole[chunk] = self.n
-            self.n += 1
+            self.n, self.held = self.n + 1, self.held + len(chunk)
             self.add(self.find(chunk))
         return at
 
@@ -110,7 +116,7 @@ def word_counts(texts: DataFrame, text: str, kept: int = 300_000) -> DataFrame:
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words: list[list[str]] = []
-        chunks, total = Chunks(words.append), np.zeros(0, np.int64)
+        chunks, total = Chunks(words.append, kept), np.zeros(0, np.int64)
 
         def drained() -> pa.RecordBatch:
             sums: defaultdict[str, int] = defaultdict(int)
@@ -129,10 +135,10 @@ def word_counts(texts: DataFrame, text: str, kept: int = 300_000) -> DataFrame:
                         flat += chunks.read(t)
                 total = np.concatenate((total, np.zeros(chunks.n - len(total), np.int64)))
                 total += np.bincount(np.array(flat, np.int64), minlength=chunks.n)
-                if chunks.n > kept:
+                if chunks.full:
                     yield drained()
                     words = []
-                    chunks, total = Chunks(words.append), np.zeros(0, np.int64)
+                    chunks, total = Chunks(words.append, kept), np.zeros(0, np.int64)
         if chunks.n:
             yield drained()
 
@@ -183,9 +189,9 @@ class Placer:
             ids += found
         self.new.append(ids)
 
-    def encode(self, texts: list[str | None], kept: int = 300_000) -> tuple[pa.Array, pa.Array]:
+    def encode(self, texts: list[str | None]) -> tuple[pa.Array, pa.Array]:
         """Ids of each text's words, and the words not known here, in order."""
-        if self.chunks.n > kept:
+        if self.chunks.full:
             self.restart()
         read = [self.chunks.read(t) if t else [] for t in texts]
         sizes = np.array([len(x) for x in self.new], np.int64)
@@ -300,7 +306,7 @@ def with_token_counts(df: DataFrame, text: str, ranks: bytes, out: str = "tokens
         add = lambda words: sizes.append(sum(len(encoding.encode_ordinary(w)) for w in words))
         chunks = Chunks(add)
         for texts in batches:
-            if chunks.n > 300_000:
+            if chunks.full:
                 sizes.clear()
                 chunks = Chunks(add)
             yield pd.Series([sum(map(sizes.__getitem__, chunks.read(t))) if t else 0 for t in texts], dtype="int32")
