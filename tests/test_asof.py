@@ -47,3 +47,13 @@ def test_clashing_payload_names(spark):
     versions = spark.createDataFrame([("p", 1, 9, 0, 0, "a")], VE).withColumn("block", F.lit(7)).withColumn("tie", F.array(F.lit(1)))
     got = asof_lookup(spark.createDataFrame([("p", 3)], EV), versions, ["start", "rank", "block", "tie"])
     assert [tuple(r) for r in got.collect()] == [("p", 3, 1, 0, 7, [1])]
+
+
+def test_a_far_day_costs_one_block(spark):
+    far = 2_932_896  # 9999-12-31
+    versions = [(f"p{i}", 10, None, 10, 0, "v") for i in range(50)]
+    events = [(f"p{i}", 100 + i) for i in range(50)] + [("p7", far), ("p8", -700_000)]
+    got = asof_lookup(spark.createDataFrame(events, EV), spark.createDataFrame(versions, VE), ["what"])
+    assert {tuple(r) for r in got.collect()} == brute(events, versions) and ("p7", far, "v") in brute(events, versions)
+    plan = got._jdf.queryExecution().toString()
+    assert "sequence(" not in plan

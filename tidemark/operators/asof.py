@@ -62,8 +62,9 @@ def asof_lookup(
 
     Plan: events are reduced to distinct (entity, day) and versions to the best of each
     (entity, start, end, recording day), so a hot entity holds no more rows than there
-    are days.  Both sides are cut into blocks of ``block_days`` and co-grouped by a hash
-    of (entity, block); each group is searched with numpy at once.
+    are days.  Both sides are cut into blocks of ``block_days``, a version goes to those of its
+    blocks in which any event falls (a far sentinel day adds one block, not thousands), and
+    both are co-grouped by a hash of (entity, block); each group is searched with numpy at once.
     """
     if {"entity", "at"} & set(payload):
         raise ValueError("entity and at are columns of the result already")
@@ -71,10 +72,11 @@ def asof_lookup(
     names, payload = payload, [f"_p{i}" for i in range(len(payload))]
     versions = versions.select("entity", "start", "end", "known", "rank", *(F.col(n).alias(p) for n, p in zip(names, payload, strict=True)))
     events = events.where(F.col("entity").isNotNull() & F.col("at").isNotNull()).select("entity", "at").distinct()
-    lo, hi, rows = events.agg(F.min("at"), F.max("at"), F.count("*")).first()
+    block = lambda c: F.floor(c / block_days).cast("int")
+    blocks, rows = events.agg(F.sort_array(F.collect_set(block(F.col("at")))), F.count("*")).first()  # as many as the calendar has
     kinds = {f.name: f.dataType for f in versions.schema.fields}
     schema = T.StructType([T.StructField("entity", T.StringType()), T.StructField("at", T.IntegerType()), *(T.StructField(p, kinds[p]) for p in payload)])
-    if lo is None:
+    if not rows:
         return spark.createDataFrame([], schema).toDF("entity", "at", *names)
     place = F.struct("rank", F.to_json(F.struct(*payload)).alias("tie"))
     until = F.coalesce(F.col("end"), F.lit(_FAR)).cast("int")
@@ -85,11 +87,11 @@ def asof_lookup(
         .agg(F.max("place").alias("place"), F.max_by("body", "place").alias("body"))
         .select("entity", "start", "end", "known", "place.rank", "place.tie", *(f"body.{p}" for p in payload))
     )
-    since, till = F.greatest("start", "known", F.lit(lo)), F.least("end", F.lit(hi))
-    block = lambda c: F.floor(c / block_days).cast("int")
-    versions = versions.where(since <= till).withColumn("block", F.explode(F.sequence(block(since), block(till))))
+    since, till = block(F.greatest("start", "known")), block(F.col("end"))
+    met = F.filter(F.lit(np.array(blocks, np.int32)), lambda b: (b >= since) & (b <= till))
+    versions = versions.withColumn("block", F.explode(met))
     events = events.withColumn("block", block(F.col("at")))
-    groups = max(shuffle_width(spark), -(-rows // rows_per_group))
+    groups = max(shuffle_width(events), -(-rows // rows_per_group))
     hashed = F.pmod(F.xxhash64("entity", "block"), F.lit(groups)).cast("int")
 
     def find(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:

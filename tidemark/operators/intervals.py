@@ -87,7 +87,7 @@ def merge_intervals(df: DataFrame, entity: str, first: str, last: str, partition
         .groupBy("entity", "s")
         .agg(F.max("e").alias("e"))
     )
-    width = partitions or shuffle_width(spark)
+    width = partitions or shuffle_width(df)
     rows = cut(
         rows.repartitionByRange(width, "entity", "s")
         .sortWithinPartitions("entity", "s")

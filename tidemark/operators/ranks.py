@@ -35,11 +35,10 @@ def order_statistics(df: DataFrame, groups: Sequence[str], value: str, picks: Ma
     partition sizes (at most partitions + groups rows) give the global places, and only the
     picked rows are joined back by their row number.
     """
-    spark = df.sparkSession
     usable = F.col(value).isNotNull() & ~F.isnan(F.col(value).cast("double"))
     rows = df.where(usable).select(F.struct(*groups).alias("g"), F.col(value).alias("v"))
     rows = cut(
-        rows.repartitionByRange(shuffle_width(spark), "g", "v").sortWithinPartitions("g", "v")
+        rows.repartitionByRange(shuffle_width(df), "g", "v").sortWithinPartitions("g", "v")
         .withColumn("part", F.spark_partition_id()).withColumn("row", F.monotonically_increasing_id())
     )
     runs = rows.groupBy("g", "part").agg(F.count("*").alias("c"), F.min("row").alias("first"))
