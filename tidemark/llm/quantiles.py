@@ -6,7 +6,7 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -17,9 +17,8 @@ HASHED = BITS - EXACT
 _HASHED_CELLS = HASHED * DEPTH * WIDTH
 #: Cells of a whole sketch; its size does not depend on the data.
 CELLS = _HASHED_CELLS + 2 ** (EXACT + 1)
-#: Stated bound: a value's rank is off by at most this part of the count, and the value
-#: itself by a factor of at most 2**-20.
-RANK_ERROR = 0.01
+#: Standard deviations of the noise that the bound of a rank allows for.
+SIGMAS = 5.0
 
 
 def encode_values(x: np.ndarray) -> np.ndarray:
@@ -87,14 +86,31 @@ def estimate(cells: np.ndarray, level: int, node: np.ndarray) -> np.ndarray:
     return np.median(np.stack(rows), axis=0)
 
 
-def invert(cells: np.ndarray, quantiles: np.ndarray) -> tuple[int, np.ndarray]:
-    """The count and the values at nearest ranks, descending from the root."""
+def level_noise(cells: np.ndarray, level: int) -> float:
+    """The standard deviation of an estimate of a hashed level, 0 for exact ones.
+
+    What an estimate is off by is what others left in its cells, so the noise is measured in
+    the sketch itself: the medians over the rows of cells that belong to no common node.
+    """
+    if level >= HASHED:
+        return 0.0
+    rows = cells[level * DEPTH * WIDTH : (level + 1) * DEPTH * WIDTH].reshape(DEPTH, WIDTH).astype(float)
+    signs = 1.0 - 2.0 * (_mix(np.arange(DEPTH * WIDTH, dtype=np.uint64)) & np.uint64(1)).astype(float).reshape(DEPTH, WIDTH)
+    return float(np.sqrt(np.mean(np.median(rows * signs, axis=0) ** 2)))
+
+
+def invert(cells: np.ndarray, quantiles: np.ndarray) -> tuple[int, np.ndarray, np.ndarray]:
+    """The count, the values at nearest ranks, descending from the root, and for each the bound
+    of its rank's error: ``SIGMAS`` deviations of the noise of all levels together, which is
+    independent from level to level; of a level no more than the node's whole count."""
     n = int(cells[_exact_start(BITS - 1)] + cells[_exact_start(BITS - 1) + 1])
     if n <= 0:
-        return 0, np.full(len(quantiles), np.nan)
+        return 0, np.full(len(quantiles), np.nan), np.full(len(quantiles), np.nan)
     rank = np.maximum(np.ceil(quantiles * n), 1.0)
     node, count = np.zeros(len(quantiles), np.uint64), np.full(len(quantiles), float(n))
+    off = np.zeros(len(quantiles))
     for level in range(BITS - 1, -1, -1):
+        off += np.minimum(SIGMAS * level_noise(cells, level), count) ** 2
         left = node << np.uint64(1)
         a, b = np.maximum(estimate(cells, level, left), 0), np.maximum(estimate(cells, level, left + np.uint64(1)), 0)
         a = np.where(a + b > 0, count * a / np.maximum(a + b, 1e-9), count)
@@ -102,33 +118,26 @@ def invert(cells: np.ndarray, quantiles: np.ndarray) -> tuple[int, np.ndarray]:
         rank = np.where(right, rank - a, rank)
         count = np.where(right, count - a, a)
         node = left + right.astype(np.uint64)
-    return n, decode_values(node)
+    return n, decode_values(node), np.minimum(np.sqrt(off) / n, 1.0)
 
 
-def build_sketch(
-    df: DataFrame, groups: Sequence[str], value: str, spread: Column, weight: str | None = None, chunk: int = 250_000, held: int = 24
-) -> DataFrame:
+def build_sketch(df: DataFrame, groups: Sequence[str], value: str, weight: str | None = None, held: int = 8) -> DataFrame:
     """``(*groups, cell, n)``: the sketch of ``value`` per group as sparse cells.
 
     Null and NaN values are left out; infinities and zeros count; a null group is a group.
     ``weight`` (1 where not given) may be negative to delete.  An empty input gives no rows.
 
-    Plan: each group's rows are hashed by ``spread`` over as many tasks as it has ``chunk``
-    rows, so a hot group is split and a small one leaves one partial sketch.  A task holds
-    at most ``held`` dense sketches (under 1 MB each), then gives out what it has; cells
-    are summed with partial aggregation, a sum that later sketches can join.
+    Plan: the input is read once and its rows stay where they are: each task sorts its own by
+    group and gives out one partial sketch a group, so a hot group is spread as its rows are.
+    A task holds at most ``held`` dense sketches (under 1 MB each); cells are summed with
+    partial aggregation, a sum that later sketches can join.
     """
     kinds = {f.name: f for f in df.schema.fields}
     group_type = T.StructType([kinds[g] for g in groups])
     key = F.to_json(F.struct(*groups), {"ignoreNullFields": "false"})
     w = F.col(weight).cast("long") if weight else F.lit(1).cast("long")
-    rows = df.where(F.col(value).isNotNull() & ~F.isnan(value)).select(key.alias("g"), F.col(value).cast("double").alias("v"), w.alias("w"), F.xxhash64(spread).alias("h"))
-    # at most 1000 groups are split; by then those left hold under a thousandth of the rows each
-    sizes = rows.groupBy("g").agg(F.ceil(F.count("*") / chunk).cast("int").alias("tasks")).where("tasks > 1")
-    total = rows.count()
-    big = sizes.where(F.col("tasks") * chunk > total / 1000)
-    rows = rows.join(F.broadcast(big), "g", "left").withColumn("salt", F.pmod("h", F.coalesce("tasks", F.lit(1))))
-    rows = rows.repartition("g", "salt").select("g", "v", "w")
+    rows = df.where(F.col(value).isNotNull() & ~F.isnan(value)).select(key.alias("g"), F.col(value).cast("double").alias("v"), w.alias("w"))
+    rows = rows.sortWithinPartitions("g")
 
     def sketch(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         dense: dict[str, np.ndarray] = {}
@@ -165,7 +174,9 @@ def merge_sketches(first: DataFrame, *others: DataFrame) -> DataFrame:
 
 
 def sketch_percentiles(sketch: DataFrame, quantiles: Sequence[float]) -> DataFrame:
-    """``(*groups, q, value, n)`` by rank inversion; a sketch has at most ``CELLS`` rows a group."""
+    """``(*groups, q, value, n, rank_error)`` by rank inversion; a sketch has at most ``CELLS`` rows
+    a group.  The rank of ``value`` is within ``rank_error`` of the count of the one asked for
+    (``SIGMAS`` standard deviations of the noise in the group's own sketch), the value itself within a factor of 2**-20."""
     groups = [c for c in sketch.columns if c not in ("cell", "n")]
     kinds = {f.name: f for f in sketch.schema.fields}
     group_type = T.StructType([kinds[g] for g in groups])
@@ -174,9 +185,9 @@ def sketch_percentiles(sketch: DataFrame, quantiles: Sequence[float]) -> DataFra
     def descend(pdf: pd.DataFrame) -> pd.DataFrame:
         cells = np.zeros(CELLS, np.int64)
         cells[pdf["cell"].to_numpy()] = pdf["n"].to_numpy()
-        n, values = invert(cells, qs)
-        return pd.DataFrame({"g": pdf["g"].iloc[0], "q": qs, "value": values, "n": n})
+        n, values, off = invert(cells, qs)
+        return pd.DataFrame({"g": pdf["g"].iloc[0], "q": qs, "value": values, "n": n, "rank_error": off})
 
     key = F.to_json(F.struct(*groups), {"ignoreNullFields": "false"})
-    found = sketch.select(key.alias("g"), "cell", "n").groupBy("g").applyInPandas(descend, "g string, q double, value double, n bigint")
-    return found.where("n > 0").select(F.from_json("g", group_type).alias("g"), "q", "value", "n").select(*(F.col(f"g.{g}").alias(g) for g in groups), "q", "value", "n")
+    found = sketch.select(key.alias("g"), "cell", "n").groupBy("g").applyInPandas(descend, "g string, q double, value double, n bigint, rank_error double")
+    return found.where("n > 0").select(F.from_json("g", group_type).alias("g"), "q", "value", "n", "rank_error").select(*(F.col(f"g.{g}").alias(g) for g in groups), "q", "value", "n", "rank_error")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tidemark.llm.mixing import clean_source, mix_sources, reached_shares
 from tidemark.llm.pii import find_personal_data, redact_personal_data
-from tidemark.llm.quantiles import RANK_ERROR, build_sketch, merge_sketches, sketch_percentiles
+from tidemark.llm.quantiles import build_sketch, merge_sketches, sketch_percentiles
 from tidemark.llm.subjects import subject_areas, train_from_tables
 from tidemark.llm.tokens import decode_corpus, encode_corpus, pieces, read_ranks, with_token_counts
 from tidemark.plans.registry import Registry
@@ -30,14 +30,13 @@ def measurements(spark: SparkSession, d: str) -> DataFrame:
 @REGISTRY.add("p2_percentiles")
 def p2_percentiles(spark: SparkSession, d: str) -> DataFrame:
     """Percentiles of both measurements per arm, each within ``rank_error`` of its rank."""
-    sketch = build_sketch(measurements(spark, d), ["arm", "field"], "value", F.col("run_id"))
-    return sketch_percentiles(sketch, QUANTILES).withColumn("rank_error", F.lit(RANK_ERROR))
+    return sketch_percentiles(build_sketch(measurements(spark, d), ["arm", "field"], "value"), QUANTILES)
 
 
 @REGISTRY.add("p2_merged")
 def p2_merged(spark: SparkSession, d: str) -> DataFrame:
     """The same from one sketch per month, put together by addition."""
-    monthly = build_sketch(measurements(spark, d), ["month", "arm", "field"], "value", F.col("run_id"))
+    monthly = build_sketch(measurements(spark, d), ["month", "arm", "field"], "value")
     return sketch_percentiles(merge_sketches(monthly.drop("month")), QUANTILES)
 
 
@@ -53,14 +52,14 @@ SELECT arm, field, q, n, true AS within_bound FROM sizes, (SELECT unnest([{", ".
 def p2_rank_check(spark: SparkSession, d: str) -> DataFrame:
     """Whether each percentile's rank in the data is within the stated bound of the one asked for."""
     data = measurements(spark, d)
-    found = sketch_percentiles(build_sketch(data, ["arm", "field"], "value", F.col("run_id")), QUANTILES).withColumnRenamed("value", "found")
+    found = sketch_percentiles(build_sketch(data, ["arm", "field"], "value"), QUANTILES).withColumnRenamed("value", "found")
     near = F.abs(F.col("found")) * 2.0**-20
     ranked = (
         data.alias("v").join(F.broadcast(found).alias("f"), F.col("v.arm").eqNullSafe(F.col("f.arm")) & (F.col("v.field") == F.col("f.field")))  # 8 rows a group
-        .groupBy("f.arm", "f.field", "q", "n")
+        .groupBy("f.arm", "f.field", "q", "n", "rank_error")
         .agg(F.count_if(F.col("value") < F.col("found") - near).alias("below"), F.count_if(F.col("value") <= F.col("found") + near).alias("upto"))
     )
-    want, slack = F.ceil(F.col("q") * F.col("n")), F.lit(RANK_ERROR) * F.col("n") + 1
+    want, slack = F.ceil(F.col("q") * F.col("n")), F.col("rank_error") * F.col("n") + 1
     return ranked.select("arm", "field", "q", "n", ((F.col("below") - slack <= want) & (F.col("upto") + slack >= want)).alias("within_bound"))
 
 
