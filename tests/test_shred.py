@@ -3,7 +3,7 @@ import json
 import pyarrow as pa
 import pytest
 
-from tidemark.operators.shred import flatten_leaf, leaf_levels, positions, shred
+from tidemark.operators.shred import ancestor_table, flatten_leaf, leaf_levels, positions, shred
 
 LAPS = "run_id string, laps array<struct<tools: array<struct<tool: string, args: string>>, other: int>>"
 ROWS = [
@@ -72,3 +72,23 @@ def test_sliced_batches_and_empty():
 def test_empty_table_and_clashing_names(spark):
     df = spark.createDataFrame([], LAPS + ", rec_id string, val int, lvl1 int")
     assert flatten_leaf(df, "run_id", "laps", ["[]", "tools", "[]", "tool"]).collect() == []
+
+
+def test_tables_of_repeated_ancestors(spark):
+    kind = "id string, rec_id int, a array<struct<n: int, b: array<struct<s: string, c: array<struct<v: double>>>>>>"
+    rows = [
+        ("r1", 1, [(1, [("x", [(1.5,), None, (None,)]), ("y", []), None]), (2, None), None, (None, [])]),
+        ("r1", 1, [(1, [("x", [(1.5,), None, (None,)]), ("y", []), None]), (2, None), None, (None, [])]),
+        ("r2", 2, []), ("r3", 3, None), (None, 4, [(9, [("z", [(7.0,)])])]),
+    ]
+    df = spark.createDataFrame(rows, kind)
+    get = lambda path, leaves: sorted(map(str, (tuple(r) for r in ancestor_table(df, "id", "a", path, leaves).collect())))
+    top = [("r1", 0, 1), ("r1", 1, 2), ("r1", 2, None), ("r1", 3, None)] * 2 + [(None, 0, 9)]
+    assert get(("[]",), {"n": "int"}) == sorted(map(str, top))
+    middle = [("r1", 0, 0, "x"), ("r1", 0, 1, "y"), ("r1", 0, 2, None)] * 2 + [(None, 0, 0, "z")]
+    assert get(("[]", "b", "[]"), {"s": "string"}) == sorted(map(str, middle))
+    deep = [("r1", 0, 0, 0, 1.5), ("r1", 0, 0, 1, None), ("r1", 0, 0, 2, None)] * 2 + [(None, 0, 0, 0, 7.0)]
+    assert get(("[]", "b", "[]", "c", "[]"), {"v": "double"}) == sorted(map(str, deep))
+    leaf = flatten_leaf(df, "id", "a", ("[]", "b", "[]", "c", "[]", "v"))
+    assert leaf.columns == ["rec_id", "lvl1", "lvl2", "lvl3", "val"] and leaf.count() == 3
+    assert ancestor_table(df.limit(0), "id", "a", ("[]",), {"n": "int"}).collect() == []

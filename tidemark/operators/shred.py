@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import json
-from collections.abc import Iterator, Sequence
+from collections.abc import Iterator, Mapping, Sequence
 from typing import Any, NamedTuple
 
 import numpy as np
@@ -106,28 +106,60 @@ def positions(levels: Levels) -> list[np.ndarray]:
 
 
 def flatten_leaf(df: DataFrame, key: str, column: str, path: Sequence[str], absent: int = -1) -> DataFrame:
-    """``(rec_id, lvl1, lvl2, val)``: the non-null values of a leaf with their places.
+    """``(rec_id, lvl1, lvl2, ..., val)``: the non-null values of a leaf with their places.
 
-    Shreds the column batch by batch and reassembles the table of the leaf's innermost
-    list from the level sequences; no shuffle, no row ever leaves its task.  Places
-    count null elements.  ``lvl2`` is ``absent`` where the path has one list only.  Null
-    or empty lists, null elements and null leaves give no row; records with a null key
-    keep it; an empty input gives no rows.
+    Shreds the column batch by batch and reassembles the leaf's rows from the level
+    sequences; no shuffle, no row ever leaves its task.  There is a place for each list of
+    the path, null elements counted; ``lvl2`` is ``absent`` where it has one list only.
+    Null or empty lists, null elements and null leaves give no row; records with a null
+    key keep it; an empty input gives no rows.
     """
+    names = [f"lvl{k + 1}" for k in range(max(2, list_steps(path)))]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             levels = shred(batch.column(1), path)
             there = levels.depth == levels.full
             places = [p[there] for p in positions(levels)]
-            lvl2 = places[1] if len(places) > 1 else np.full(int(there.sum()), absent, np.int32)
+            places += [np.full(int(there.sum()), absent, np.int32)] * (len(names) - len(places))
             keys = batch.column(0).take(pa.array(levels.row[there]))
-            yield pa.RecordBatch.from_arrays(
-                [keys.cast(pa.string()), pa.array(places[0]), pa.array(lvl2), levels.values.cast(pa.string())],
-                ["rec_id", "lvl1", "lvl2", "val"],
-            )
+            yield pa.RecordBatch.from_arrays([keys.cast(pa.string()), *map(pa.array, places), levels.values.cast(pa.string())], ["rec_id", *names, "val"])
+
+    return df.select(key, column).mapInArrow(run, f"rec_id string, {', '.join(f'{n} int' for n in names)}, val string")
+
+
+def list_steps(path: Sequence[str]) -> int:
+    return sum(step == "[]" for step in path)
+
 
-    return df.select(key, column).mapInArrow(run, "rec_id string, lvl1 int, lvl2 int, val string")
+def ancestor_table(df: DataFrame, key: str, column: str, path: Sequence[str], leaves: Mapping[str, str]) -> DataFrame:
+    """``(rec_id, lvl1, ..., *leaves)``: one row for every element of the list that ``path`` ends in.
+
+    ``leaves`` are fields of the element with their types.  Each leaf is shredded on its own
+    and the rows are put together from the level sequences, which agree up to the list; a
+    place for each list of the path ties a row to its parents' rows, whose tables have the
+    same places.  Elements without children and null elements keep their row, with nulls;
+    null and empty lists have no elements.  Records with a null key keep it; repeated
+    records give repeated rows; no shuffle.
+    """
+    if not path or path[-1] != "[]":
+        raise ValueError("the path of a repeated ancestor ends in a list")
+    names = [f"lvl{k + 1}" for k in range(list_steps(path))]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            parts = [shred(batch.column(1), (*path, leaf)) for leaf in leaves]
+            first = parts[0]
+            there = first.depth >= first.lists[-1]
+            columns = [batch.column(0).take(pa.array(first.row[there])).cast(pa.string()), *(pa.array(p[there]) for p in positions(first))]
+            for levels in parts:
+                full = levels.depth == levels.full
+                at = np.where(full, np.cumsum(full) - 1, -1)[there]
+                columns.append(levels.values.take(pa.array(at, mask=at < 0)))
+            yield pa.RecordBatch.from_arrays(columns, ["rec_id", *names, *leaves])
+
+    head = ", ".join([*(f"{n} int" for n in names), *(f"`{n}` {kind}" for n, kind in leaves.items())])
+    return df.select(key, column).mapInArrow(run, f"rec_id string, {head}")
 
 
 def leaf_levels(df: DataFrame, key: str, column: str, path: Sequence[str]) -> DataFrame:

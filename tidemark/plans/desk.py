@@ -11,7 +11,7 @@ from tidemark.operators.asof import asof_lookup
 from tidemark.operators.intervals import merge_intervals
 from tidemark.operators.joins import hot_values, salted_join
 from tidemark.operators.references import find_orphans, orphan_counts, reference_targets
-from tidemark.operators.shred import flatten_leaf, leaf_levels
+from tidemark.operators.shred import ancestor_table, flatten_leaf, leaf_levels
 from tidemark.plans.registry import Registry
 from tidemark.session import cut
 from tidemark.sources.tables import table
@@ -159,6 +159,43 @@ def p3_levels(spark: SparkSession, d: str) -> DataFrame:
     return leaf_levels(table(spark, d, "race_single", schema), key, column, path).groupBy("rep", "depth").agg(F.count("*").alias("n"))
 
 
+#: Tables of repeated ancestors: table, schema of what is read, key, column, path, leaves.
+_LAP = {"lap": "int", "prompt_tokens": "int", "completion_tokens": "int", "call_s": "double", "wait_s": "double", "estimated": "boolean"}
+_ANCESTORS = {
+    "p3_laps": ("race_single", "run_id", "laps", ("[]",), _LAP, f"run_id string, laps array<struct<{', '.join(f'{n}: {k}' for n, k in _LAP.items())}>>"),
+    "p3_tools": ("race_single", "run_id", "laps", ("[]", "tools", "[]"), {"tool": "string", "args": "string"}, "run_id string, laps array<struct<tools: array<struct<tool: string, args: string>>>>"),
+    "p3_calls": ("traj_before", "claim_id", "tool_calls", ("[]",), {"tool": "string", "args": "string", "returned": "string"}, "claim_id string, tool_calls array<struct<tool: string, args: string, returned: string>>"),
+    "p3_checks": ("eval_before", "trace_id", "checks", ("[]",), {"name": "string", "passed": "boolean", "detail": "string"}, "trace_id string, checks array<struct<name: string, passed: boolean, detail: string>>"),
+}
+
+
+def _ancestor_sql(name: str, key: str, column: str, path: tuple[str, ...], leaves: dict[str, str]) -> str:
+    """Nested unnesting by place, one step a list."""
+    source, item, at = f"SELECT {key} AS rec_id, {column} AS x FROM {name}", "x", []
+    for step in path:
+        if step == "[]":
+            at.append(f"i{len(at) + 1}")
+            source = f"SELECT rec_id, {''.join(f'{i}, ' for i in at[:-1])}x, unnest(range(1, len({item}) + 1)) AS {at[-1]} FROM ({source})"
+            item = f"{item}[{at[-1]}]"
+        else:
+            item = f"{item}.{step}"
+    cols = ", ".join([*(f"CAST({i} - 1 AS INTEGER) AS lvl{k + 1}" for k, i in enumerate(at)), *(f"{item}.{leaf} AS {leaf}" for leaf in leaves)])
+    return f"SELECT DISTINCT rec_id, {cols} FROM ({source})"
+
+
+def _ancestor(name: str):
+    source, key, column, path, leaves, schema = _ANCESTORS[name]
+
+    def plan(spark: SparkSession, d: str) -> DataFrame:
+        return ancestor_table(table(spark, d, source, schema), key, column, path, leaves).distinct()
+
+    return REGISTRY.add(name, _ancestor_sql(source, key, column, path, leaves))(plan)
+
+
+for _name in _ANCESTORS:
+    _ancestor(_name)
+
+
 # ---- 4. intervals ------------------------------------------------------------------------
 
 
