@@ -38,9 +38,9 @@ def test_json_lines_hold_every_document(spark, tmp_path):
 
     rows = [(1, "one line"), (2, "a\nb\r\nc\rd"), (3, ""), (4, None), (5, "\n"), (6, '"\\\t\u2028é\x00'), (7, "x\n" * 50_000)]
     spark.createDataFrame(rows, "doc_id bigint, text string").write.parquet(str(tmp_path / "documents.parquet"))
-    got = {r["doc_id"]: r["text"] for r in e.queries()["json_lines_whole"](spark, str(tmp_path)).collect()}
+    got = {r["doc_id"]: r["text"] for r in e.queries()["json_lines_folder"](spark, str(tmp_path)).collect()}
     assert got == {i: t for i, t in rows if t is not None}
-    assert spark_rows(e.queries()["json_lines_whole"](spark, DATA)) == oracle_rows(DATA, e.oracle_sql()["json_lines_whole"])
+    assert spark_rows(e.queries()["json_lines_folder"](spark, DATA)) == oracle_rows(DATA, e.oracle_sql()["json_lines_folder"])
 
 
 def test_clause_sections_of_every_document(spark, tmp_path):
@@ -49,6 +49,6 @@ def test_clause_sections_of_every_document(spark, tmp_path):
 
     rows = [(1, "no clause here"), (2, "Head\nCLAUSE 1 a\nCLAUSE 2 b"), (3, ""), (4, None), (5, "clause 1 in lower case\nclause 2")]
     spark.createDataFrame(rows, "doc_id bigint, text string").write.parquet(str(tmp_path / "documents.parquet"))
-    got = {r["doc_id"]: r["sections"] for r in e.queries()["clause_sections_all"](spark, str(tmp_path)).collect()}
+    got = {r["doc_id"]: r["sections"] for r in e.queries()["clause_sections"](spark, str(tmp_path)).collect()}
     assert got == {1: 1, 2: 3, 3: 0, 5: 1}
-    assert spark_rows(e.queries()["clause_sections_all"](spark, DATA)) == oracle_rows(DATA, e.oracle_sql()["clause_sections_all"])
+    assert spark_rows(e.queries()["clause_sections"](spark, DATA)) == oracle_rows(DATA, e.oracle_sql()["clause_sections"])

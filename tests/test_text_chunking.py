@@ -105,7 +105,7 @@ def test_bm25_against_brute_force(spark):
     floor = 0.25 * sum(idf.values()) / len(idf)
     idf = {t: v if v >= 0 else floor for t, v in idf.items()}
     want = {k: sum(idf[t] * (f := x.count(t)) * 2.5 / (f + 1.5 * (0.25 + 0.75 * len(x) / avg)) for t in re.findall(r"[a-z0-9\-]+", asked["q"]) if t in x) for k, x in toks.items()}
-    got = retrieval.bm25(spark.createDataFrame(list(asked.items()), "q string, t string"), spark.createDataFrame(list(docs.items()), "k string, d string"), "q", "t", "k", "d")
+    got = retrieval.bm25(spark.createDataFrame(list(asked.items()), "q string, t string"), retrieval.lexical_index(spark.createDataFrame(list(docs.items()), "k string, d string"), "k", "d"), "q", "t")
     assert {r["k"]: r["score"] for r in got.collect()} == {k: round(v, 6) for k, v in want.items() if v}
 
 
@@ -130,3 +130,17 @@ def test_fusion_does_not_see_scores(spark):
     b = spark.createDataFrame([("q", "y", 1), ("q", "z", 2)], "q string, d string, rank int")
     got = [(r["d"], r["rank"]) for r in retrieval.fuse([a, b], "q", "d", 3).orderBy("rank").collect()]
     assert got == [("y", 1), ("x", 2), ("z", 3)]
+
+
+def test_search_among_some_documents_and_of_given_pairs(spark):
+    docs = spark.createDataFrame([("a", "wind and hail"), ("b", "hail on roof"), ("c", "fire"), ("d", None)], "k string, d string")
+    asked = spark.createDataFrame([("q1", "hail roof"), ("q2", "fire wind"), ("q3", None)], "q string, t string")
+    index = retrieval.lexical_index(docs, "k", "d")
+    whole = {(r["q"], r["k"]): r["score"] for r in retrieval.bm25(asked, index, "q", "t").collect()}
+    assert set(whole) == {("q1", "a"), ("q1", "b"), ("q2", "a"), ("q2", "c")}
+    some = retrieval.bm25(asked, index, "q", "t", among=docs.where("k IN ('a', 'c')"))
+    assert {(r["q"], r["k"]): r["score"] for r in some.collect()} == {p: s for p, s in whole.items() if p[1] != "b"}
+    pairs = spark.createDataFrame([("q1", "b", 1), ("q2", "b", 2), ("q9", "a", 3)], "q string, k string, rank int")
+    assert {(r["q"], r["k"]): r["score"] for r in retrieval.bm25(asked, index, "q", "t", pairs=pairs).collect()} == {("q1", "b"): whole["q1", "b"]}
+    vectors = {r["k"]: r["vector"] for r in retrieval.hashed_vectors(docs, "k", "d").collect()}
+    assert set(vectors) == {"a", "b", "c"} and sum(vectors["a"]) == 3 and len(vectors["c"]) == retrieval.BUCKETS

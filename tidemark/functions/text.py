@@ -100,8 +100,12 @@ def wait_seconds(message: Column, cap: float = 900.0) -> Column:
     return F.when(message.rlike(at), F.least(F.lit(cap), part(1) * 3600 + part(2) * 60 + part(3)))
 
 
+#: The dashes that count as hyphens in cited codes.
+HYPHENS = "‐‑‒–—−"
+
+
 def same_hyphens(text: Column) -> Column:
-    return F.translate(text, "‐‑‒–—−", "------")
+    return F.translate(text, HYPHENS, "-" * len(HYPHENS))
 
 
 def rounded_fraction(k: Column, n: Column) -> Column:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
@@ -37,54 +38,68 @@ def postings(docs: DataFrame, key: str, text: str) -> DataFrame:
     return words.groupBy("term", key, "dl").agg(F.count("*").alias("tf"))
 
 
-def bm25(queries: DataFrame, docs: DataFrame, query: str, question: str, key: str, text: str) -> DataFrame:
-    """``(query, key, score)`` for every pair that shares a term.
+class LexicalIndex(NamedTuple):
+    """Postings, kept, with the statistics of all documents: shared by every search over them."""
 
-    Inverse document frequency ``ln(n - df + .5) - ln(df + .5)``; a negative one is replaced by
-    a quarter of the mean.  A term asked twice counts twice.  Statistics cover all documents.
+    key: str
+    postings: DataFrame  # (term, key, tf, dl)
+    weights: DataFrame  # (term, avgdl, idf)
+    hot: list[str]
 
-    Plan: the postings are built once and kept; terms that hold more than 1/64 of them are
-    salted by document in the join with the questions.
+
+def lexical_index(docs: DataFrame, key: str, text: str) -> LexicalIndex:
+    """The index of a corpus.
+
+    Inverse document frequency ``ln(n - df + .5) - ln(df + .5)``; a negative one is replaced by
+    a quarter of the mean.  Statistics cover all documents, also those a search leaves out.
     """
     index = cut(postings(docs, key, text))
     size = docs.select(F.size(tokenize(F.col(text))).alias("dl")).agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
     df = index.groupBy("term").agg(F.count("*").alias("df"))
     hot = hot_keys(df.withColumnRenamed("df", "n"), "term", index.count())
-    idf = df.join(F.broadcast(size)).withColumn("raw", F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))
+    idf = df.join(F.broadcast(size)).withColumn("raw", F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))  # one row
     mean = idf.agg((F.avg("raw") * EPSILON).alias("floor"))
-    idf = idf.join(F.broadcast(mean)).select("term", "avgdl", F.when(F.col("raw") < 0, F.col("floor")).otherwise(F.col("raw")).alias("idf"))  # one row
+    weights = idf.join(F.broadcast(mean)).select("term", "avgdl", F.when(F.col("raw") < 0, F.col("floor")).otherwise(F.col("raw")).alias("idf"))  # one row
+    return LexicalIndex(key, index, weights, hot)
+
+
+def bm25(queries: DataFrame, index: LexicalIndex, query: str, question: str, among: DataFrame | None = None, pairs: DataFrame | None = None) -> DataFrame:
+    """``(query, key, score)`` for every pair that shares a term; a term asked twice counts twice.
+
+    ``among(key)`` are the documents to look in: their postings are taken out of the index
+    before any meets a question.  ``pairs(query, key)`` are the only pairs to score, which
+    costs as much as there are pairs.  Terms that hold more than 1/64 of the postings are
+    salted by document in the join with the questions.
+    """
+    key = index.key
     asked = queries.select(query, F.explode(tokenize(F.col(question))).alias("term")).groupBy(query, "term").agg(F.count("*").alias("times"))
     part = F.col("times") * F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
-    found = salted_join(index, asked.join(idf, "term"), ["term"], hot, F.col(key))
+    held = index.postings if among is None else index.postings.join(among.select(key), key, "left_semi")
+    weighed = asked.join(index.weights, "term")
+    if pairs is None:
+        found = salted_join(held, weighed, ["term"], index.hot, F.col(key))
+    else:
+        found = weighed.join(pairs.select(query, key), query).join(held, [key, "term"])
     return found.groupBy(query, key).agg(F.round(F.sum(part), 6).alias("score"))
 
 
-def hashed_vector(docs: DataFrame, key: str, text: str, buckets: int = BUCKETS) -> DataFrame:
-    """``(key, bucket, w)``: a deterministic stand-in for an embedding model, unit length."""
+def hashed_vectors(docs: DataFrame, key: str, text: str, buckets: int = BUCKETS) -> DataFrame:
+    """``(key, vector)``: a deterministic stand-in for an embedding model; texts without words have none."""
     bucket = F.pmod(F.conv(F.substring(F.md5(F.col("term")), 1, 8), 16, 10).cast("long"), F.lit(buckets)).cast("int")
     words = docs.select(key, F.explode(tokenize(F.col(text))).alias("term")).select(key, bucket.alias("bucket"))
     counts = words.groupBy(key, "bucket").agg(F.count("*").cast("double").alias("c"))
-    norms = counts.groupBy(key).agg(F.sqrt(F.sum(F.col("c") * F.col("c"))).alias("norm"))
-    return counts.join(norms, key).select(key, "bucket", (F.col("c") / F.col("norm")).alias("w"))
-
-
-def sparse_cosine(queries: DataFrame, docs: DataFrame, query: str, key: str) -> DataFrame:
-    """``(query, key, score)`` of sparse unit vectors, by a join on their buckets.
-
-    There are few buckets, so each is hot: the documents of a bucket are spread by their keys.
-    """
-    q = queries.select(query, "bucket", F.col("w").alias("qw"))
-    found = salted_join(docs, q, ["bucket"], list(range(BUCKETS)), F.col(key), salts=8)
-    return found.groupBy(query, key).agg(F.round(F.sum(F.col("qw") * F.col("w")), 6).alias("score"))
+    met = counts.groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct("bucket", "c"))).alias("m"))
+    return met.select(key, F.transform(F.sequence(F.lit(0), F.lit(buckets - 1)), lambda i: F.coalesce(F.try_element_at("m", i), F.lit(0.0))).alias("vector"))
 
 
-def vector_topk(queries: DataFrame, corpus: DataFrame, key: str, vector: str, k: int, cell: int = 2000) -> DataFrame:
+def vector_topk(queries: DataFrame, corpus: DataFrame, key: str, vector: str, k: int, cell: int = 20_000, rows: int = 500) -> DataFrame:
     """``(query, key, score, rank)``: exact cosine top ``k`` of every query over the whole corpus.
 
     Scores are rounded to 6 places before ranking, ties go to the lesser key.  Zero vectors
     score 0; null vectors take no part.  Queries and corpus are cut into cells of about
-    ``cell`` rows; each pair of cells is one matrix product that gives ``k`` rows a query,
-    and the partial lists are ranked once more.
+    ``cell`` rows, which bounds how often a vector is sent; each pair of cells is a matrix
+    product, ``rows`` queries at a time, that gives ``k`` rows a query, and the partial lists
+    are ranked once more.
     """
     q, c = (d.where(F.col(vector).isNotNull()).select(F.col(key).alias(n), F.col(vector).alias("v")) for d, n in ((queries, "query"), (corpus, "doc")))
     nq, nc = max(1, -(-queries.count() // cell)), max(1, -(-corpus.count() // cell))
@@ -101,9 +116,13 @@ def vector_topk(queries: DataFrame, corpus: DataFrame, key: str, vector: str, k:
         if not len(a) or not len(b):
             return pd.DataFrame({"query": [], "doc": [], "score": []})
         b = b.sort_values("doc", kind="stable")
-        s = np.round(unit(a["v"]) @ unit(b["v"]).T, 6) + 0.0
-        top = np.argsort(-s, axis=1, kind="stable")[:, :k]
-        return pd.DataFrame({"query": np.repeat(a["query"].to_numpy(), top.shape[1]), "doc": b["doc"].to_numpy()[top.ravel()], "score": np.take_along_axis(s, top, 1).ravel()})
+        left, right, parts = unit(a["v"]), unit(b["v"]).T, []
+        for lo in range(0, len(a), rows):
+            s = np.round(left[lo : lo + rows] @ right, 6) + 0.0
+            top = np.argsort(-s, axis=1, kind="stable")[:, :k]
+            parts.append((top, np.take_along_axis(s, top, 1)))
+        top, s = (np.concatenate(x) for x in zip(*parts, strict=True))
+        return pd.DataFrame({"query": np.repeat(a["query"].to_numpy(), top.shape[1]), "doc": b["doc"].to_numpy()[top.ravel()], "score": s.ravel()})
 
     pairs = left.groupBy("qc", "cc").cogroup(right.groupBy("qc", "cc")).applyInPandas(best, f"query {kind}, doc {kind}, score double")
     return ranked(pairs, ["query"], F.col("score"), ["doc"], k)

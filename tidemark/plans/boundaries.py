@@ -73,17 +73,8 @@ def csv_report(spark: SparkSession, d: str) -> DataFrame:
     return back.select("claim_id", F.coalesce("reasons", F.lit("")).alias("reasons"), "cost")
 
 
-@Q("json_lines_folder", "SELECT doc_id, text FROM documents WHERE text IS NOT NULL AND NOT contains(text, chr(13)) AND NOT contains(text, chr(10)) AND text != ''")
+@Q("json_lines_folder", "SELECT doc_id, text FROM documents WHERE text IS NOT NULL")
 def json_lines_folder(spark: SparkSession, d: str) -> DataFrame:
-    """One-line documents through JSON lines and back, under a given schema."""
-    out = fresh_folder(spark, "docs")
-    one_line = ~F.col("text").contains("\r") & ~F.col("text").contains("\n") & (F.col("text") != "")
-    table(spark, d, "documents").where(one_line).select("doc_id", "text").write.json(out)
-    return files.json_lines(spark, out, "doc_id bigint, text string", strict=True)
-
-
-@Q("json_lines_whole", "SELECT doc_id, text FROM documents WHERE text IS NOT NULL")
-def json_lines_whole(spark: SparkSession, d: str) -> DataFrame:
     """All documents through JSON lines and back, those with line ends and empty ones too."""
     out = fresh_folder(spark, "docs")
     table(spark, d, "documents").where("text IS NOT NULL").select("doc_id", "text").write.json(out)

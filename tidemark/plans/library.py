@@ -10,6 +10,7 @@ from tidemark.functions.keys import clean_key
 from tidemark.operators import chunking, rates, relations, retrieval
 from tidemark.plans.registry import Registry
 from tidemark.plans.runs import ATT, DEMO, attempts, demos
+from tidemark.session import cut
 from tidemark.sources.tables import table
 
 REGISTRY = Registry()
@@ -44,18 +45,27 @@ a AS (SELECT trace_id, term, count(*) AS times FROM (SELECT trace_id, unnest({_T
 lex AS MATERIALIZED (SELECT trace_id, chunk_id, round(sum(times * idf * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / avgdl))), 6) AS score FROM a JOIN idf USING (term) JOIN p USING (term), st GROUP BY ALL)"""
 
 
-def _lexical(spark: SparkSession, d: str) -> DataFrame:
-    return retrieval.bm25(questions(spark, d), chunks(spark, d, "text"), "trace_id", "question", "chunk_id", "text")
+def _index(spark: SparkSession, d: str) -> retrieval.LexicalIndex:
+    return retrieval.lexical_index(chunks(spark, d, "text"), "chunk_id", "text")
 
 
-def _dense(spark: SparkSession, d: str) -> DataFrame:
-    q = retrieval.hashed_vector(questions(spark, d), "trace_id", "question")
-    return retrieval.sparse_cosine(q, retrieval.hashed_vector(chunks(spark, d, "text"), "chunk_id", "text"), "trace_id", "chunk_id")
+def _lexical(spark: SparkSession, d: str, k: int, among: DataFrame | None = None) -> DataFrame:
+    """The best ``k`` chunks of each question by their words."""
+    scores = retrieval.bm25(questions(spark, d), _index(spark, d), "trace_id", "question", among=among)
+    return relations.ranked(scores, ["trace_id"], F.col("score"), ["chunk_id"], k)
+
+
+def _dense(spark: SparkSession, d: str, k: int) -> DataFrame:
+    """The best ``k`` chunks of each question by hashed vectors, which are never negative: 0 is no hit."""
+    q = retrieval.hashed_vectors(questions(spark, d).withColumnRenamed("trace_id", "key"), "key", "question")
+    c = retrieval.hashed_vectors(chunks(spark, d, "text").withColumnRenamed("chunk_id", "key"), "key", "text")
+    found = retrieval.vector_topk(q, c, "key", "vector", k).where("score > 0")
+    return found.select(F.col("query").alias("trace_id"), F.col("doc").alias("chunk_id"), "score", "rank")
 
 
 @Q("bm25_topk", f"WITH {_BM25} SELECT trace_id, chunk_id, score, row_number() OVER (PARTITION BY trace_id ORDER BY score DESC, chunk_id) AS rank FROM lex QUALIFY rank <= 3")
 def bm25_topk(spark: SparkSession, d: str) -> DataFrame:
-    return relations.ranked(_lexical(spark, d), ["trace_id"], F.col("score"), ["chunk_id"], 3).withColumn("rank", F.col("rank").cast("long"))
+    return _lexical(spark, d, 3).withColumn("rank", F.col("rank").cast("long"))
 
 
 _VEC = """{1} AS MATERIALIZED (SELECT k, b, c / sqrt(sum(c * c) OVER (PARTITION BY k)) AS w FROM (SELECT k, CAST('0x' || substr(md5(term), 1, 8) AS BIGINT) % 64 AS b, CAST(count(*) AS DOUBLE) AS c FROM (SELECT {2} AS k, unnest({3}) AS term FROM {0}) GROUP BY ALL))"""
@@ -67,7 +77,7 @@ _DENSE = (
 
 @Q("hashed_dense_topk", f"WITH {_DENSE} SELECT trace_id, chunk_id, score, row_number() OVER (PARTITION BY trace_id ORDER BY score DESC, chunk_id) AS rank FROM den QUALIFY rank <= 3")
 def hashed_dense_topk(spark: SparkSession, d: str) -> DataFrame:
-    return relations.ranked(_dense(spark, d), ["trace_id"], F.col("score"), ["chunk_id"], 3).withColumn("rank", F.col("rank").cast("long"))
+    return _dense(spark, d, 3).withColumn("rank", F.col("rank").cast("long"))
 
 
 _LISTS = "l1 AS (SELECT trace_id, chunk_id, row_number() OVER (PARTITION BY trace_id ORDER BY score DESC, chunk_id) AS r, score FROM {0} QUALIFY r <= 25)"
@@ -76,14 +86,13 @@ f AS (SELECT trace_id, chunk_id, round(sum(1.0 / (60 + r)), 9) AS score FROM (SE
 top AS (SELECT *, row_number() OVER (PARTITION BY trace_id ORDER BY score DESC, chunk_id) AS rank FROM f QUALIFY rank <= 3)"""
 
 
-def _hybrid(spark: SparkSession, d: str) -> DataFrame:
-    lists = [relations.ranked(x, ["trace_id"], F.col("score"), ["chunk_id"], 25) for x in (_dense(spark, d), _lexical(spark, d))]
-    return retrieval.fuse(lists, "trace_id", "chunk_id", 3)
+def _hybrid(spark: SparkSession, d: str, lexical: DataFrame) -> DataFrame:
+    return retrieval.fuse([_dense(spark, d, 25), lexical], "trace_id", "chunk_id", 3)
 
 
 @Q("rrf_fuse", _RRF + " SELECT * FROM top")
 def rrf_fuse(spark: SparkSession, d: str) -> DataFrame:
-    return _hybrid(spark, d).withColumn("rank", F.col("rank").cast("long"))
+    return _hybrid(spark, d, _lexical(spark, d, 25)).withColumn("rank", F.col("rank").cast("long"))
 
 
 @Q("rerank_two_stage", f"""WITH {_BM25}, {_DENSE}, {_LISTS.format('den')}
@@ -91,25 +100,26 @@ SELECT l1.trace_id, l1.chunk_id, coalesce(lex.score, 0) AS score, row_number() O
 FROM l1 LEFT JOIN lex USING (trace_id, chunk_id) QUALIFY rank <= 3""")
 def rerank_two_stage(spark: SparkSession, d: str) -> DataFrame:
     """Dense candidates, ordered anew by their lexical score."""
-    first = relations.ranked(_dense(spark, d), ["trace_id"], F.col("score"), ["chunk_id"], 25).drop("score")
-    both = first.join(_lexical(spark, d).withColumnRenamed("score", "lexical"), ["trace_id", "chunk_id"], "left")
+    first = cut(_dense(spark, d, 25).drop("score"))
+    scores = retrieval.bm25(questions(spark, d), _index(spark, d), "trace_id", "question", pairs=first)
+    both = first.join(scores.withColumnRenamed("score", "lexical"), ["trace_id", "chunk_id"], "left")
     return retrieval.rerank(both, F.coalesce("lexical", F.lit(0.0)), "trace_id", "chunk_id", 25, 3).select("trace_id", "chunk_id", "score", F.col("rank").cast("long").alias("rank"))
 
 
 @Q("filtered_search", f"""WITH {_BM25} SELECT trace_id, chunk_id, score, row_number() OVER (PARTITION BY trace_id ORDER BY score DESC, chunk_id) AS rank
 FROM lex JOIN (SELECT chunk_id FROM chunks WHERE policy_line = 'homeowners' AND in_force_from <= 20240630 AND in_force_to >= 20240630 GROUP BY chunk_id) USING (chunk_id) QUALIFY rank <= 3""")
 def filtered_search(spark: SparkSession, d: str) -> DataFrame:
-    """Chunks of one policy line in force on a day: filtered before the cut to three."""
+    """Chunks of one policy line in force on a day: filtered before they are scored."""
     fit = table(spark, d, "chunks").where("policy_line = 'homeowners' AND in_force_from <= 20240630 AND in_force_to >= 20240630").select("chunk_id").distinct()
-    hits = _lexical(spark, d).join(fit, "chunk_id", "left_semi")
-    return relations.ranked(hits, ["trace_id"], F.col("score"), ["chunk_id"], 3).withColumn("rank", F.col("rank").cast("long"))
+    return _lexical(spark, d, 3, among=fit).withColumn("rank", F.col("rank").cast("long"))
 
 
 @Q("retrieval_agreement", _RRF + " SELECT count(*) AS n, count(*) FILTER (rank <= 3) AS hits, round(count(*) FILTER (rank <= 3) / count(*), 6) AS hit_rate, round(count(*) FILTER (rank = 1) / count(*), 6) AS hit_at_1, round(avg(coalesce(CASE WHEN rank <= 3 THEN 1.0 / rank END, 0)), 6) AS mrr FROM (SELECT * FROM l2 WHERE r = 1) g LEFT JOIN top USING (trace_id, chunk_id)")
 def retrieval_agreement(spark: SparkSession, d: str) -> DataFrame:
     """How often the best lexical hit is among the fused three, and where."""
-    gold = relations.ranked(_lexical(spark, d), ["trace_id"], F.col("score"), ["chunk_id"], 1).select("trace_id", "chunk_id")
-    return rates.hit_rates(gold.join(_hybrid(spark, d).select("trace_id", "chunk_id", "rank"), ["trace_id", "chunk_id"], "left"), [], "rank", 3)
+    lexical = cut(_lexical(spark, d, 25))
+    gold = lexical.where("rank = 1").select("trace_id", "chunk_id")
+    return rates.hit_rates(gold.join(_hybrid(spark, d, lexical).select("trace_id", "chunk_id", "rank"), ["trace_id", "chunk_id"], "left"), [], "rank", 3)
 
 
 _VTOP = """WITH q AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings WHERE vec_id % 20 = 0), c AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings{0})
@@ -147,7 +157,8 @@ def score_floor(spark: SparkSession, d: str) -> DataFrame:
         F.count("*").alias("n"), F.count_if(F.col("best_dense_score") < 0.35).alias("below"), F.count_if(F.col("refused_by") == "score floor").alias("refused"))
 
 
-STOP = "what which when where does this that with from have under most much apply applies both still into only".split()
+#: Words that say nothing of a question's matter: an own list of common English function words.
+STOP = "about after again also another anything because been before being between could does doing down each either else every from have here into itself just like many might more must other over same should some such than that their them then there these they this those through until upon very was were what when where which while whom whose will with within without would your".split()
 
 
 @Q("grounding_gate", f"""
@@ -239,17 +250,9 @@ def chunk_fixed(spark: SparkSession, d: str) -> DataFrame:
 
 
 @Q("clause_sections", f"""
-WITH s AS (SELECT doc_id, list_filter(list_transform(string_split(regexp_replace(text, '(?m)^(CLAUSE\\s+\\d)', chr(31) || '\\1', 'g'), chr(31)), lambda x: {_TRIM.format('x')}), lambda x: x != '') AS parts FROM documents WHERE contains(text, 'CLAUSE'))
-SELECT doc_id, CAST(len(parts) AS INTEGER) AS sections, md5(array_to_string(parts, chr(31))) AS content FROM s""")
-def clause_sections(spark: SparkSession, d: str) -> DataFrame:
-    parts = chunking.clause_sections(F.regexp_replace("text", "\x1f", ""))
-    return table(spark, d, "documents").where(F.col("text").contains("CLAUSE")).select("doc_id", F.size(parts).alias("sections"), F.md5(F.array_join(parts, "\x1f")).alias("content"))
-
-
-@Q("clause_sections_all", f"""
 WITH s AS (SELECT doc_id, list_filter(list_transform(string_split(regexp_replace(text, '(?m)^(CLAUSE\\s+\\d)', chr(31) || '\\1', 'g'), chr(31)), lambda x: {_TRIM.format('x')}), lambda x: x != '') AS parts FROM (SELECT doc_id, replace(text, chr(31), '') AS text FROM documents WHERE text IS NOT NULL))
 SELECT doc_id, CAST(len(parts) AS INTEGER) AS sections, md5(array_to_string(parts, chr(31))) AS content FROM s""")
-def clause_sections_all(spark: SparkSession, d: str) -> DataFrame:
+def clause_sections(spark: SparkSession, d: str) -> DataFrame:
     """Sections of every document: one where no clause starts, none in a blank one."""
     parts = chunking.clause_sections(F.regexp_replace("text", "\x1f", ""))
     return table(spark, d, "documents").where("text IS NOT NULL").select("doc_id", F.size(parts).alias("sections"), F.md5(F.array_join(parts, "\x1f")).alias("content"))
@@ -330,9 +333,9 @@ def previews(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents").where("text IS NOT NULL").select("doc_id", F.substring(text, 1, 110).alias("preview"))
 
 
-@Q("verdict_parse", "SELECT doc_id, nullif(upper(regexp_extract(text, '(?i)VERDICT:[ \\t\\r\\n]*(PASS|FAIL)', 1)), '') AS verdict FROM documents WHERE contains(upper(text), 'VERDICT:')")
+@Q("verdict_parse", "SELECT doc_id, nullif(upper(regexp_extract(text, '(?i)VERDICT:[ \\t\\r\\n]*(PASS|FAIL)', 1)), '') AS verdict FROM documents")
 def verdict_parse(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "documents").where(F.upper("text").contains("VERDICT:")).select("doc_id", tx.verdict(F.col("text")).alias("verdict"))
+    return table(spark, d, "documents").select("doc_id", tx.verdict(F.col("text")).alias("verdict"))
 
 
 # ---- editions -----------------------------------------------------------------------------
