@@ -74,9 +74,9 @@ def test_rollup_and_budgets(spark):
     a = got["a"]
     assert (a["n_laps"], a["lap_prompt"], a["lap_completion"], a["active_s"], a["waited_s"], a["sent_again"], a["tool_order"]) == (3, 30, 1, 3.0, 0.5, 20, ["x", "y"])
     assert [got[k]["n_laps"] for k in "bc"] == [0, 0] and got["c"]["tool_order"] == []
-    limits = {"tokens": (F.col("x.prompt_tokens"), 10), "laps": (F.lit(1), 2)}
-    assert rows(traces.running_budget(df, "id", "laps", limits)) == [("a", 1, "tokens")]
-    assert rows(traces.running_budget(df, "id", "laps", {"tokens": (F.col("x.prompt_tokens"), 99), "laps": (F.lit(1), 2)})) == [("a", 2, "laps")]
+    limits = lambda most: [traces.Limit("tokens", lambda x: x["prompt_tokens"], most), traces.Limit("laps", lambda x: F.lit(1), 2)]
+    assert rows(traces.running_budget(df, "id", "laps", limits(10))) == [("a", 1, "tokens")]
+    assert rows(traces.running_budget(df, "id", "laps", limits(99))) == [("a", 2, "laps")]
     assert rows(traces.budget_left(df, "id", "laps", F.col("x.prompt_tokens"), 12, 5)) == [("a", 0, 5.0), ("a", 1, 2.0), ("a", 2, 2.0)]
 
 

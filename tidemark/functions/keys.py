@@ -64,3 +64,9 @@ def day_text(number: Column) -> Column:
 
 def utc_month(c: Column) -> Column:
     return F.substring(day_text(utc_day(c)), 1, 7)
+
+
+def form_guess(raw: Column) -> Column:
+    """What a form's name may have been meant to be: its letters, a hyphen, its digits."""
+    head = F.regexp_replace(F.trim(raw), r"(?i)\s+ed\.?\s*[\d-]+$", "")
+    return F.concat(F.regexp_replace(F.upper(head), "[^A-Z]", ""), F.lit("-"), F.regexp_replace(head, r"[^0-9]", ""))

@@ -3,13 +3,15 @@
 from __future__ import annotations
 
 import json
-from collections.abc import Callable, Mapping
+from collections.abc import Callable, Mapping, Sequence
 from typing import Any
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidemark.functions.text import json_object, same_hyphens
+
 #: What every tool gives back.
 ENVELOPE = "struct<value: string, error: string>"
 
@@ -75,3 +77,38 @@ def run_checks(df: DataFrame, checks: Mapping[str, tuple[Column, Column]], out:
     """``df`` with an array of ``(name, passed, detail)``; a null test has not passed."""
     rows = [F.struct(F.lit(n).alias("name"), F.coalesce(test, F.lit(False)).alias("passed"), detail.cast("string").alias("detail")) for n, (test, detail) in checks.items()]
     return df.withColumn(out, F.array(*rows))
+
+
+def expect_check(position: Column, grounds: Column, position_not: Column, position_in: Column, must_cite: Column) -> Column:
+    """``(ok, why)`` of an answer under what a case expects: positions forbidden, positions
+    allowed, codes of which one must be cited.  Null or empty lists expect nothing; the first
+    expectation not met is the reason."""
+    said, cited = F.upper(F.coalesce(position, F.lit(""))), same_hyphens(F.coalesce(grounds, F.lit("")))
+    given = lambda c: F.coalesce(F.size(c) > 0, F.lit(False))
+    why = (
+        F.when(~(given(position_not) | given(position_in) | given(must_cite)), "nothing expected")
+        .when(given(position_not) & F.array_contains(position_not, said), "position forbidden")
+        .when(given(position_in) & ~F.array_contains(position_in, said), "position not allowed")
+        .when(given(must_cite) & ~F.exists(must_cite, lambda c: F.contains(cited, c)), "no code cited")
+        .otherwise("as expected")
+    )
+    return F.struct(why.isin("nothing expected", "as expected").alias("ok"), why.alias("why"))
+
+
+def validated(reply: Column, needs: Sequence[str], numbers: Sequence[str] = ()) -> Column:
+    """``(value, error)`` of a model's reply that should hold a JSON object, from its first brace
+    to its last: the object's text, or what is wrong with it.  ``needs`` are keys it must have,
+    those in ``numbers`` with a number or null."""
+    text = json_object(reply)
+    doc = F.try_parse_json(text)
+    keys = F.json_object_keys(text)
+    missing = F.array_except(F.array(*map(F.lit, needs)), F.coalesce(keys, F.array().cast("array<string>")))
+    odd = F.lit(None).cast("string")
+    for key in reversed(numbers):
+        kind = F.schema_of_variant(F.try_variant_get(doc, f"$.{key}", "variant"))
+        odd = F.when(kind.isNotNull() & ~kind.rlike("^(BIGINT|DOUBLE|DECIMAL.*|VOID)$"), F.concat(F.lit(key), F.lit(" is no number"))).otherwise(odd)
+    error = (
+        F.when(F.coalesce(F.trim(reply), F.lit("")) == "", "empty reply").when(text.isNull(), "no JSON object").when(doc.isNull(), "invalid JSON")
+        .when(F.size(missing) > 0, F.concat(F.lit("missing keys: "), F.array_join(missing, ", "))).otherwise(odd)
+    )
+    return F.struct(F.when(error.isNull(), text).alias("value"), error.alias("error"))

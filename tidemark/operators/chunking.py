@@ -37,6 +37,35 @@ def pack_paragraphs(text: Column, size: int, sep: str = "\n") -> Column:
     return F.aggregate(parts, zero, add, lambda acc: F.when(acc["used"] > 0, F.concat(acc["done"], F.array(acc["cur"]))).otherwise(acc["done"]))
 
 
+def pack_with_lines(text: Column, size: int) -> Column:
+    """Chunks with the number of the line they start at, as ``(chunk, line)``.
+
+    Paragraphs are runs of lines that are not blank; they are packed greedily, two line ends
+    between, as long as the open chunk and the next paragraph have at most ``size`` characters.
+    """
+    strip = lambda c: F.regexp_replace(c, r"^\s+|\s+$", "")
+    none = F.array().cast("array<struct<chunk: string, line: int>>")
+    one = lambda c, n: F.array(F.struct(c.alias("chunk"), n.alias("line")))
+    closed = lambda acc: F.when(acc["cur"] != "", F.concat(acc["done"], one(acc["cur"], acc["start"]))).otherwise(acc["done"])
+    zero = F.struct(none.alias("done"), F.lit("").alias("cur"), F.lit(0).alias("start"), F.lit(0).alias("i"))
+
+    def line(acc: Column, x: Column) -> Column:
+        blank, fresh = strip(x) == "", acc["cur"] == ""
+        done = F.when(blank & ~fresh, F.concat(acc["done"], one(strip(acc["cur"]), acc["start"]))).otherwise(acc["done"])
+        cur = F.when(blank, F.lit("")).when(fresh, x).otherwise(F.concat(acc["cur"], F.lit("\n"), x))
+        return F.struct(done.alias("done"), cur.alias("cur"), F.when(fresh, acc["i"] + 1).otherwise(acc["start"]).alias("start"), (acc["i"] + 1).alias("i"))
+
+    def paragraph(acc: Column, p: Column) -> Column:
+        fresh = acc["cur"] == ""
+        full = ~fresh & (F.length(acc["cur"]) + F.length(p["chunk"]) > size)
+        cur = F.when(fresh | full, p["chunk"]).otherwise(F.concat(acc["cur"], F.lit("\n\n"), p["chunk"]))
+        done = F.when(full, F.concat(acc["done"], one(acc["cur"], acc["start"]))).otherwise(acc["done"])
+        return F.struct(done.alias("done"), cur.alias("cur"), F.when(fresh | full, p["line"]).otherwise(acc["start"]).alias("start"), acc["i"].alias("i"))
+
+    paragraphs = F.aggregate(F.split(text, "\n"), zero, line, lambda acc: F.when(acc["cur"] != "", F.concat(acc["done"], one(strip(acc["cur"]), acc["start"]))).otherwise(acc["done"]))
+    return F.aggregate(paragraphs, zero, paragraph, closed)
+
+
 def fixed_windows(text: Column, size: int = 400, overlap: int = 50) -> Column:
     """Windows of ``size`` characters every ``size - overlap``, trimmed, empty ones dropped."""
     starts = F.sequence(F.lit(0), F.greatest(F.length(text) - 1, F.lit(0)), F.lit(size - overlap))

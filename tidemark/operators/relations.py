@@ -21,6 +21,18 @@ def pending(items: DataFrame, done: DataFrame, key: str) -> DataFrame:
     return items.join(done.select(key).distinct(), key, "left_anti")
 
 
+def resume(items: DataFrame, done: DataFrame, key: str, marks: Sequence[str]) -> DataFrame:
+    """What is still to do of ``items``: those not ``done``, if everything done was done under the
+    marks (fingerprints of the inputs) that the items have now; else all of them.
+
+    ``marks`` are columns of both; those of the items must agree.  Nothing done leaves all.
+    """
+    now = items.select(*marks).distinct()
+    foreign = done.select(*marks).distinct().exceptAll(now).agg((F.count("*") > 0).alias("_foreign"))
+    kept = done.select(key).distinct().join(F.broadcast(foreign)).where(~F.col("_foreign")).select(key)  # one row
+    return items.join(kept, key, "left_anti")
+
+
 def complete_join(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
     """Inner join that fails when an item of ``left`` has no partner in ``right``."""
     there = right.withColumn("_there", F.lit(True))

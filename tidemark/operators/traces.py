@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
+from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -34,21 +35,36 @@ def trace_rollup(df: DataFrame, laps: str) -> DataFrame:
     )
 
 
-def running_budget(df: DataFrame, key: str, items: str, limits: Mapping[str, tuple[Column, float]]) -> DataFrame:
-    """``(key, pos, limit)``: the first item before which a running total had reached its limit,
-    and which limit, in the order given; traces that never reach one give no row.
+class Limit(NamedTuple):
+    """A budget of a trace: what an item costs, the most of it, and what must be left for one more."""
 
-    ``limits`` maps a name to an expression over the element ``x`` and the most it may add up to.
-    The running totals stay inside the row's own array, so there is no shuffle.
+    name: str
+    cost: Callable[[Column], Column]
+    most: float
+    reserve: float = 0.0
+
+
+def running_budget(df: DataFrame, key: str, items: str, limits: Sequence[Limit]) -> DataFrame:
+    """``(key, pos, limit)``: the first item before which a budget was spent, and the first such
+    budget in the order given; traces that never spend one give no row.
+
+    A budget is spent when its running total has reached ``most`` or leaves less than
+    ``reserve``.  Null items and costs count 0.  The fold stays inside the row's own array:
+    no explosion, no shuffle.
     """
-    flat = df.select(key, F.posexplode(items).alias("pos", "x"))
-    over = Window.partitionBy(key).orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
-    fired = None
-    for name, (value, most) in limits.items():
-        total = F.coalesce(F.sum(F.coalesce(value, F.lit(0))).over(over), F.lit(0))
-        fired = F.when(total >= most, name) if fired is None else fired.when(total >= most, name)
-    hits = flat.withColumn("limit", fired).where(F.col("limit").isNotNull())
-    return hits.groupBy(key).agg(F.min(F.struct("pos", "limit")).alias("b")).select(key, "b.pos", "b.limit")
+    zero = F.struct(F.lit(0).alias("pos"), F.lit(None).cast("int").alias("at"), F.lit(None).cast("string").alias("limit"), *(F.lit(0.0).alias(f"t{i}") for i in range(len(limits))))
+
+    def add(acc: Column, x: Column) -> Column:
+        fired = F.lit(None).cast("string")
+        for i, x_limit in reversed(list(enumerate(limits))):
+            spent = (acc[f"t{i}"] >= x_limit.most) | (x_limit.most - acc[f"t{i}"] < x_limit.reserve)
+            fired = F.when(spent, x_limit.name).otherwise(fired)
+        now = acc["limit"].isNull() & fired.isNotNull()
+        totals = ((acc[f"t{i}"] + F.coalesce(b.cost(x).cast("double"), F.lit(0.0))).alias(f"t{i}") for i, b in enumerate(limits))
+        return F.struct((acc["pos"] + 1).alias("pos"), F.when(now, acc["pos"]).otherwise(acc["at"]).alias("at"), F.coalesce(acc["limit"], fired).alias("limit"), *totals)
+
+    end = F.aggregate(F.col(items), zero, add)
+    return df.select(key, end.alias("_b")).where("_b.limit IS NOT NULL").select(key, F.col("_b.at").alias("pos"), "_b.limit")
 
 
 def order_violations(df: DataFrame, key: str, path: str, needs: Mapping[str, str]) -> DataFrame:

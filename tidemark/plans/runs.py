@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.operators import rates, traces
@@ -292,6 +292,10 @@ def stage_shares(spark: SparkSession, d: str) -> DataFrame:
     return traces.stage_shares(races(spark, d, "arm", "prompt_tokens", "completion_tokens"), ["arm"], stages)
 
 
+def lap_tokens(x: Column) -> Column:
+    return F.coalesce(x["prompt_tokens"], F.lit(0)) + F.coalesce(x["completion_tokens"], F.lit(0))
+
+
 @Q("running_budget", f"""
 WITH l AS (SELECT run_id, i - 1 AS pos, laps[i] AS x FROM (SELECT run_id, laps, {_LAPS} FROM {RACE('laps')})),
 t AS (SELECT run_id, pos, count(*) OVER w AS calls, coalesce(sum(coalesce(x.prompt_tokens, 0) + coalesce(x.completion_tokens, 0)) OVER w, 0) AS tokens, coalesce(sum(coalesce(x.call_s, 0)) OVER w, 0) AS secs
@@ -299,8 +303,7 @@ t AS (SELECT run_id, pos, count(*) OVER w AS calls, coalesce(sum(coalesce(x.prom
 h AS (SELECT run_id, CAST(pos AS INTEGER) AS pos, CASE WHEN calls >= 4 THEN 'laps' WHEN tokens >= 6000 THEN 'tokens' WHEN secs >= 5 THEN 'wall' END AS "limit" FROM t)
 SELECT run_id, pos, "limit" FROM h WHERE "limit" IS NOT NULL QUALIFY row_number() OVER (PARTITION BY run_id ORDER BY pos) = 1""")
 def running_budget(spark: SparkSession, d: str) -> DataFrame:
-    zero = lambda c: F.coalesce(F.col(f"x.{c}"), F.lit(0))
-    limits = {"laps": (F.lit(1), 4), "tokens": (zero("prompt_tokens") + zero("completion_tokens"), 6000), "wall": (F.col("x.call_s"), 5.0)}
+    limits = [traces.Limit("laps", lambda x: F.lit(1), 4), traces.Limit("tokens", lap_tokens, 6000), traces.Limit("wall", lambda x: x["call_s"], 5.0)]
     return traces.running_budget(races(spark, d, "laps"), "run_id", "laps", limits)
 
 
