@@ -71,9 +71,10 @@ def asof_lookup(
     spark = events.sparkSession
     names, payload = payload, [f"_p{i}" for i in range(len(payload))]
     versions = versions.select("entity", "start", "end", "known", "rank", *(F.col(n).alias(p) for n, p in zip(names, payload, strict=True)))
-    events = events.where(F.col("entity").isNotNull() & F.col("at").isNotNull()).select("entity", "at").distinct()
+    events = events.where(F.col("entity").isNotNull() & F.col("at").isNotNull()).select("entity", "at")
     block = lambda c: F.floor(c / block_days).cast("int")
     blocks, rows = events.agg(F.sort_array(F.collect_set(block(F.col("at")))), F.count("*")).first()  # as many as the calendar has
+    events = events.distinct()
     kinds = {f.name: f.dataType for f in versions.schema.fields}
     schema = T.StructType([T.StructField("entity", T.StringType()), T.StructField("at", T.IntegerType()), *(T.StructField(p, kinds[p]) for p in payload)])
     if not rows:
