@@ -45,7 +45,7 @@ def test_chunks_join_to_the_text_and_hold_its_words():
     import regex
 
     words: list[list[str]] = []
-    chunks, r = tokens.Chunks(words.append), random.Random(3)
+    chunks, r = tokens.Chunks(lambda c: words.append(tokens.find_words(c))), random.Random(3)
     made = ["".join(r.choice(" \n\t\u00a0\x1ca'b1.,s\r\u3000é漢") for _ in range(r.randint(0, 30))) for _ in range(3000)]
     for text in [t or "" for t in TEXTS] + made:
         found = [w for c in chunks.read(text) for w in words[c]]

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import base64
+import re
 from collections import defaultdict
 from collections.abc import Callable, Iterator, Mapping, Sequence
 from functools import lru_cache
@@ -37,64 +38,44 @@ def _encoding(ranks: bytes):
     return tiktoken.Encoding("words", pat_str=PYTHON_WORDS, mergeable_ranks=table, special_tokens={})
 
 
-class Chunks:
-    """Texts cut where a single blank stands between two other characters.
+#: The characters the pattern takes for white space.
+_BLANK = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+_CHUNK = re.compile(f"[{_BLANK}]*[^{_BLANK}]+|[{_BLANK}]+").findall
 
-    No word of the pre-tokenizer spans such a place, and none depends on what is beyond it,
-    so the words of a chunk are the same wherever it stands and are looked for once a process.
-    ``add`` is told of every new chunk's words, in order of the chunks' numbers.
-    """
 
-    def __init__(self, add: Callable[[list[str]], None], kept: int = 300_000):
-        import regex
+def find_words(text: str) -> list[str]:
+    """The words of the pre-tokenizer; joined they are the text again."""
+    import regex
+
+    return regex.findall(PYTHON_WORDS, text)
+
+
+class Chunks(dict[str, int]):
+    """Texts cut wherever white space begins: a chunk is some white space and what follows it.
+
+    No word of the pre-tokenizer goes on over such a place, and none depends on what is beyond
+    it, so the words of a chunk are the same wherever it stands and are looked for once a
+    process.  ``add`` is told of every new chunk, in order of the chunks' numbers.
+    """
 
-        self.find, self.add = regex.compile(PYTHON_WORDS).findall, add
-        self.whole: dict[str, int] = {}
-        self.behind: dict[str, int] = {}  # chunks by what follows their leading blank; -1 where the cut is not sure
-        self.n = self.held = 0
-        self.kept = kept
+    def __init__(self, add: Callable[[str], None], kept: int = 300_000):
+        super().__init__()
+        self.add, self.kept, self.held = add, kept, 0
 
     @property
     def full(self) -> bool:
         """Whether there are so many chunks, or so long ones, that it is time to begin anew."""
-        return self.n > self.kept or self.held > 64_000_000
+        return len(self) > self.kept or self.held > 64_000_000
 
-    def _new(self, chunk: str) -> int:
-        if (at := self.whole.get(chunk)) is None:
-            at = self.whole[chunk] = self.n
-            self.n, self.held = self.n + 1, self.held + len(chunk)
-            self.add(self.find(chunk))
+    def __missing__(self, chunk: str) -> int:
+        self[chunk] = at = len(self)
+        self.held += len(chunk)
+        self.add(chunk)
         return at
 
-    def read(self, text: str) -> list[int]:
+    def read(self, text: str) -> Iterator[int]:
         """The numbers of a text's chunks in order; joined they are the text again."""
-        parts = text.split(" ")
-        ids, unsure = [0], not parts[0] or parts[0][-1].isspace()
-        for part in parts[1:] if not unsure else ():
-            if (at := self.behind.get(part)) is None:
-                at = -1 if not part or part[0].isspace() or part[-1].isspace() else self._new(" " + part)
-                self.behind[part] = at
-            if at < 0:
-                unsure = True
-                break
-            ids.append(at)
-        if unsure:
-            return [self._new(c) for c in self._joined(parts)]
-        ids[0] = self._new(parts[0])
-        return ids
-
-    @staticmethod
-    def _joined(parts: list[str]) -> Iterator[str]:
-        held = [parts[0]]
-        for part in parts[1:]:
-            last = held[-1][-1:]
-            if part and not part[0].isspace() and last and not last.isspace():
-                yield "".join(held)
-                held = [" " + part]
-            else:
-                held.append(" " + part)
-        if whole := "".join(held):
-            yield whole
+        return map(self.__getitem__, _CHUNK(text))
 
 
 def _slices(texts: list[str | None], chars: int = 4_000_000) -> Iterator[tuple[int, int]]:
@@ -116,7 +97,8 @@ def word_counts(texts: DataFrame, text: str, kept: int = 300_000) -> DataFrame:
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words: list[list[str]] = []
-        chunks, total = Chunks(words.append, kept), np.zeros(0, np.int64)
+        add = lambda chunk: words.append(find_words(chunk))
+        chunks, total = Chunks(add, kept), np.zeros(0, np.int64)
 
         def drained() -> pa.RecordBatch:
             sums: defaultdict[str, int] = defaultdict(int)
@@ -133,13 +115,13 @@ def word_counts(texts: DataFrame, text: str, kept: int = 300_000) -> DataFrame:
                 for t in column[lo:hi]:
                     if t:
                         flat += chunks.read(t)
-                total = np.concatenate((total, np.zeros(chunks.n - len(total), np.int64)))
-                total += np.bincount(np.array(flat, np.int64), minlength=chunks.n)
+                total = np.concatenate((total, np.zeros(len(chunks) - len(total), np.int64)))
+                total += np.bincount(np.array(flat, np.int64), minlength=len(chunks))
                 if chunks.full:
                     yield drained()
-                    words = []
-                    chunks, total = Chunks(words.append, kept), np.zeros(0, np.int64)
-        if chunks.n:
+                    words.clear()
+                    chunks, total = Chunks(add, kept), np.zeros(0, np.int64)
+        if chunks:
             yield drained()
 
     return texts.select(text).mapInArrow(count, "word string, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
@@ -180,9 +162,9 @@ class Placer:
         self.rare: dict[str, int] = {}
         self.starts, self.sizes, self.flat = (np.zeros(0, np.int64) for _ in range(3))
 
-    def _add(self, words: list[str]) -> None:
+    def _add(self, chunk: str) -> None:
         ids: list[int] = []
-        for w in words:
+        for w in find_words(chunk):
             found = self.known.get(w)
             if found is None:
                 found = self.encode_word(w) if len(w) > LONG else (-1 - self.rare.setdefault(w, len(self.rare)),)
@@ -193,7 +175,7 @@ class Placer:
         """Ids of each text's words, and the words not known here, in order."""
         if self.chunks.full:
             self.restart()
-        read = [self.chunks.read(t) if t else [] for t in texts]
+        read = [list(self.chunks.read(t)) if t else [] for t in texts]
         sizes = np.array([len(x) for x in self.new], np.int64)
         self.starts = np.concatenate((self.starts, len(self.flat) + np.cumsum(sizes) - sizes))
         self.sizes, self.flat = np.concatenate((self.sizes, sizes)), np.concatenate((self.flat, np.array([i for x in self.new for i in x], np.int64)))
@@ -303,7 +285,7 @@ def with_token_counts(df: DataFrame, text: str, ranks: bytes, out: str = "tokens
     def count(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         encoding = _encoding(shared.value)
         sizes: list[int] = []
-        add = lambda words: sizes.append(sum(len(encoding.encode_ordinary(w)) for w in words))
+        add = lambda chunk: sizes.append(len(encoding.encode_ordinary(chunk)))
         chunks = Chunks(add)
         for texts in batches:
             if chunks.full:
