@@ -11,6 +11,7 @@ def test_width_grows_with_what_is_read(spark, tmp_path):
     assert session.shuffle_width(df.join(df.withColumnRenamed("id", "x")), part=10_000) > 100
     assert session.shuffle_width(df, part=1, most=50) == 50
     assert session.shuffle_width(spark.createDataFrame([], "a int")) == 4
+    assert session.shuffle_width(session.cut(df.limit(9)), part=1) == 4
 
 
 def test_no_local_folder_on_a_cluster(spark, monkeypatch):

@@ -57,9 +57,10 @@ def shuffle_width(df: DataFrame, part: int = 32_000_000, most: int = 100_000) ->
     """Partitions to use where an operator must name a number: those set for the session, or
     one for each ``part`` bytes of what ``df`` reads, if these are more.
 
-    Sizes are the planner's own of the tables read; a source of unknown size counts nothing.
+    Sizes are those of the files; what is kept or made in the session counts nothing, as the
+    planner's estimates for it multiply with every join.
     """
     leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
-    sizes = [int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size())]
-    read = sum(x for x in sizes if x < 1 << 60)
+    files = [leaves.apply(i) for i in range(leaves.size())]
+    read = sum(int(str(x.stats().sizeInBytes())) for x in files if x.getClass().getSimpleName() == "LogicalRelation")
     return max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), min(most, -(-read // part)))
