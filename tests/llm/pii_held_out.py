@@ -106,7 +106,8 @@ Her tax number [123-45-6789|i] must not be shared.
 My aunt [Philippa|n] taught me how to whittle.
 """.strip().split("\n")
 
-#: Written after the grammar was settled and looked at once; the first set guided it.
+#: Written after the grammar was settled, which the first set guided; its figures, not its misses,
+#: were seen when the fit's rate and lean were chosen.
 FRESH = """
 [Amelia Stroud|n] rents the room above the bakery.
 We hired [Patrick|n] as a part-time gardener in June.
